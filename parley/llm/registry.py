@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import exact_dedup
+from parley.llm import exact_dedup, packing, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pack_sequences": packing.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op9_personal_data": pii.query,
 }
 
 ORACLES: dict[str, str] = {
