@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import bpe, exact_dedup, packing, pii
+from parley.llm import bpe, exact_dedup, langid, packing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": packing.query,
+    "op3_quality": quality.query,
+    "op4_language": langid.query,
     "op5_exact_dedup": exact_dedup.query,
     "op8_encode_decode": bpe.query,
     "op9_personal_data": pii.query,
