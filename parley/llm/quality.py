@@ -14,6 +14,7 @@ repeated rows; a null id counts as the text ''; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ from parley.llm.langid import id_text_crc
 FEATURES = (
     "log_bytes", "log_words", "word_length", "upper", "digit", "symbol", "bang", "bar", "stop", "comma", "high", "distinct", "lines", "line_repeat", "top_word", "entropy",
 )
-SHRINK_POOLED, SHRINK_SPHERE, THRESHOLD, FOLDS = 0.1, 0.02, 0.3, 5
+SHRINK_POOLED, SHRINK_SPHERE, THRESHOLD, FOLDS = 0.3, 0.005, 0.3, 5
 LETTERS, UPPER = np.zeros(256, bool), np.zeros(256, bool)
 LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 UPPER[65:91] = True
@@ -36,8 +37,8 @@ SYMBOLS = np.isin(np.arange(256), [*b"#$%&*+<=>@\\^_`~{}[]/"])
 
 
 def logit(part: float, whole: float) -> float:
-    """A share on an open scale; half a count is added on both sides."""
-    return float(np.log((part + 0.5) / (max(whole - part, 0) + 0.5)))
+    """A share on an open scale, flattened far from a half; half a count is added on both sides."""
+    return 4 * math.tanh(math.log((part + 0.5) / (max(whole - part, 0) + 0.5)) / 4)
 
 
 def statistics(text: str) -> list[float]:
@@ -62,10 +63,10 @@ def statistics(text: str) -> list[float]:
         logit(int(hist[44]), n),
         logit(int(hist[128:].sum()), n),
         logit(len(seen), len(words)),
-        np.log1p(len(lines)),
+        4 * math.tanh(math.log1p(len(lines)) / 4),
         logit(len(lines) - len(set(lines)), len(lines)),
-        np.log1p(longest),
-        float(-(share * np.log(share)).sum()),
+        4 * math.tanh(math.log1p(longest) / 4),
+        4 * math.tanh(float(-(share * np.log(share)).sum()) / 4),
     ]
 
 

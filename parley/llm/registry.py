@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import bpe, exact_dedup, langid, packing, pii, quality
+from parley.llm import bpe, exact_dedup, langid, packing, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": packing.query,
     "op3_quality": quality.query,
     "op4_language": langid.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op7_toxicity": toxicity.query,
     "op8_encode_decode": bpe.query,
     "op9_personal_data": pii.query,
 }
