@@ -29,8 +29,8 @@ from parley.llm.common import stored, text_slices
 from parley.llm.langid import id_text_crc
 
 POSITIVES, UNLABELLED, WORDS, FOLDS, THRESHOLD = 3000, 9000, 1024, 5, 0.5
-#: A word has to be that many times as frequent among positives as among unlabelled documents.
-RATIO = 3.0
+#: A word's count among positives has to be that many standard deviations above what the unlabelled documents suggest.
+SURE = 6.0
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -102,9 +102,9 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", positives:
     each = sample.select("positive", F.explode("words").alias("word")).groupBy("word").agg(
         F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("u")
     )
-    gap = (F.col("p") + 0.5) / (count_p + 1.0) - (F.col("u") + 0.5) / (count_u + 1.0)
-    odds = F.log(((F.col("p") + 0.5) / (count_p + 1.0)) / ((F.col("u") + 0.5) / (count_u + 1.0)))
-    top = each.where((F.col("p") > 2) & (odds >= float(np.log(RATIO)))).orderBy(F.desc(gap * odds), "word").limit(n_words).select("word").collect()
+    expected = (F.col("u") + 0.5) * (count_p / max(count_u, 1))
+    sure = (F.col("p") - expected) / F.sqrt(expected + 1)
+    top = each.where(sure >= SURE).orderBy(sure.desc(), "word").limit(n_words).select("word").collect()
     words = {r["word"]: i for i, r in enumerate(top)}
     if not words:
         return Model({}, np.zeros(0), float(np.log(prior / (1 - prior))))
