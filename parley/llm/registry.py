@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import bpe, exact_dedup, langid, packing, pii, quality, toxicity
+from parley.llm import bpe, exact_dedup, jaccard, langid, packing, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": packing.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": toxicity.query,
     "op8_encode_decode": bpe.query,
     "op9_personal_data": pii.query,
+    "op10_jaccard_join": jaccard.query,
 }
 
 ORACLES: dict[str, str] = {
