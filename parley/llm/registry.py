@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import bpe, exact_dedup, jaccard, langid, packing, pii, quality, toxicity
+from parley.llm import bpe, exact_dedup, jaccard, langid, lm_score, packing, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": packing.query,
     "op3_quality": quality.query,
     "op4_language": langid.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op6_lm_score": lm_score.query,
     "op7_toxicity": toxicity.query,
     "op8_encode_decode": bpe.query,
     "op9_personal_data": pii.query,
@@ -21,4 +22,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op6_lm_score": lm_score.ORACLE,
 }
