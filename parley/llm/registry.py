@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import bpe, exact_dedup, jaccard, langid, lm_score, packing, pii, quality, toxicity
+from parley.llm import ann, bpe, exact_dedup, jaccard, langid, lm_score, packing, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": packing.query,
+    "op2_nearest": ann.query,
     "op3_quality": quality.query,
     "op4_language": langid.query,
     "op5_exact_dedup": exact_dedup.query,
@@ -18,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_encode_decode": bpe.query,
     "op9_personal_data": pii.query,
     "op10_jaccard_join": jaccard.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
