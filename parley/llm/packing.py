@@ -18,6 +18,7 @@ import heapq
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,9 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm.common import text_slices
 
-CAPACITY, POOL, END = 2048, 2048, 1
+CAPACITY, POOL, END = 2048, 1024, 1
 #: Entries of a worker's memo of encoded pieces.
-MEMO = 400_000
+MEMO = 1_500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -43,12 +44,12 @@ class ByteLevelEncoder:
     """Ids of whole texts as little-endian 32-bit bytes, through the tokenizers library.
 
     The byte-level pre-tokenizer never joins what a single space or newline between two other
-    characters separates, so words are encoded once each and their ids put together. Texts with
-    other white space are split by the pre-tokenizer's pattern first; texts that hold a special
-    token's string go to the library in one piece.
+    characters separates, nor letters and the punctuation after them. So words are encoded once each
+    and their ids put together. Texts with other white space are split by the pre-tokenizer's
+    pattern first; texts that hold a special token's string go to the library in one piece.
     """
 
-    ODD = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]")
+    WORD_AND_MARKS = re.compile(r"(\s?[^\W\d_]+)([^\w\s]+)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,36 +62,62 @@ class ByteLevelEncoder:
         self.tok.no_truncation()
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def keys(self, text: str) -> list[str] | None:
-        """Pieces whose ids put together are the text's; None: encode in one piece."""
-        if any(s in text for s in self.special):
-            return None
-        if self.ODD.search(text):
-            return self.pattern.findall(text)
-        out: list[str] = []
-        for n, line in enumerate(text.split("\n")):
-            first, *rest = line.split(" ")
-            if n:
-                out.append("\n")
-            out.append(first)
-            out += [" " + w for w in rest]
-        return out
+        self.pieces: dict[str, bytes] = {}  # of strings as they are
+        self.words: dict[str, bytes] = {}  # of words after a space, or with the newline before them
+
+    def encoded(self, texts: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(texts), 20_000):
+            for e in self.tok.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False):
+                yield array("I", e.ids).tobytes()
+
+    def learn(self, pieces: set[str]) -> None:
+        """Encode what isn't known yet: words apart from the marks that follow them."""
+        known, apart = self.pieces, {}
+        for piece in pieces:
+            if piece not in known and (m := self.WORD_AND_MARKS.fullmatch(piece)):
+                apart[piece] = m.groups()
+        new = {p for p in pieces if p not in apart}.union(*apart.values()).difference(known)
+        new = list(new)
+        known.update(zip(new, self.encoded(new)))
+        for piece, (word, marks) in apart.items():
+            known[piece] = known[word] + known[marks]
 
     def many(self, texts: list[str]) -> list[bytes]:
-        keys = [self.keys(t) if t else [] for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = list(set().union(*(k for k in keys if k)).difference(self.memo)) if keys else []
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.memo.update(zip(part, (np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(part, add_special_tokens=False))))
-        get = self.memo.__getitem__
-        return [self.whole(t) if k is None else b"".join(map(get, k)) for t, k in zip(texts, keys)]
+        if len(self.words) + len(self.pieces) > MEMO:
+            self.words, self.pieces = {}, {}
+        out: list[list[bytes | None] | bytes] = []
+        again: list[tuple[int, list[str], bool]] = []
+        words, missing, plain = self.words.get, set(), set()
+        for n, text in enumerate(texts):
+            if not text:
+                out.append(b"")
+            elif any(s in text for s in self.special):
+                out.append(array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes())
+            elif " ".join(text.split()) == text.replace("\n", " "):
+                parts = text.replace("\n", " \n").split(" ")
+                plain.add(parts[0])
+                found = list(map(words, parts))
+                found[0] = None
+                out.append(found)
+                again.append((n, parts, True))
+                if None in found[1:]:
+                    missing.update(p for p, f in zip(parts[1:], found[1:]) if f is None)
+            else:
+                parts = self.pattern.findall(text)
+                plain.update(parts)
+                out.append([None] * len(parts))
+                again.append((n, parts, False))
+        as_pieces = {w: w if w[0] == "\n" else " " + w for w in missing}
+        self.learn(plain.union(as_pieces.values()))
+        self.words.update((w, self.pieces[p]) for w, p in as_pieces.items())
+        for n, parts, regular in again:
+            if regular:
+                first = self.pieces[parts[0]]
+                rest = out[n][1:] if None not in out[n][1:] else map(self.words.__getitem__, parts[1:])
+                out[n] = b"".join([first, *rest])
+            else:
+                out[n] = b"".join(map(self.pieces.__getitem__, parts))
+        return out
 
 
 def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, int]:
@@ -185,7 +212,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, poo
                 sequence += int(names[-1]) + 1
                 items = []
 
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, chars=1 << 22):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.many(texts)):
                 ids += tail
                 n = len(ids) // size
