@@ -1,12 +1,6 @@
-"""Registry of the reference-style queries and their DuckDB equivalents."""
+"""Registry of the conversation queries and their DuckDB equivalents; importing it loads all of them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+from parley.plans import analytics, lifecycle, nested, relational, signals, streams, texts  # noqa: F401
+from parley.plans.registry import ORACLES, QUERIES  # noqa: F401
