@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -28,7 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm.common import text_slices
 
-CAPACITY, POOL, END = 2048, 1024, 1
+CAPACITY, POOL, END = 2048, 768, 1
+#: Marks that may follow a word's letters (ASCII punctuation, fixed values).
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 #: Entries of a worker's memo of encoded pieces.
 MEMO = 1_500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -49,8 +50,6 @@ class ByteLevelEncoder:
     pattern first; texts that hold a special token's string go to the library in one piece.
     """
 
-    WORD_AND_MARKS = re.compile(r"(\s?[^\W\d_]+)([^\w\s]+)")
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
@@ -62,61 +61,79 @@ class ByteLevelEncoder:
         self.tok.no_truncation()
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        tokens = self.tok.get_vocab()
+        self.opens = np.zeros(max(tokens.values()) + 1, bool)  # tokens that start with a space
+        self.opens[[i for t, i in tokens.items() if t[0] == "\u0120"]] = True
         self.pieces: dict[str, bytes] = {}  # of strings as they are
-        self.words: dict[str, bytes] = {}  # of words after a space, or with the newline before them
-
-    def encoded(self, texts: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(texts), 20_000):
-            for e in self.tok.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False):
-                yield array("I", e.ids).tobytes()
-
-    def learn(self, pieces: set[str]) -> None:
-        """Encode what isn't known yet: words apart from the marks that follow them."""
-        known, apart = self.pieces, {}
-        for piece in pieces:
-            if piece not in known and (m := self.WORD_AND_MARKS.fullmatch(piece)):
-                apart[piece] = m.groups()
-        new = {p for p in pieces if p not in apart}.union(*apart.values()).difference(known)
-        new = list(new)
-        known.update(zip(new, self.encoded(new)))
-        for piece, (word, marks) in apart.items():
-            known[piece] = known[word] + known[marks]
+        self.stems: dict[str, bytes] = {}  # of letters after a space
+        self.words: dict[str, bytes] = {}  # of words after a space, after the newline or nothing that their first character says
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learn_pieces(self, pieces: Iterable[str]) -> None:
+        new = [p for p in set(pieces) if p not in self.pieces]
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            self.pieces.update((p, array("I", e.ids).tobytes()) for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)))
+
+    def learn_stems(self, stems: list[str], block: int = 1000) -> None:
+        """Letter runs are encoded many at a time; each starts at the next token that has a space."""
+        parts = [stems[i : i + block] for i in range(0, len(stems), block)]
+        for part, e in zip(parts, self.tok.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.asarray(e.ids, "<u4")
+            at = (np.flatnonzero(self.opens[ids]) * 4).tolist()
+            if len(at) == len(part):
+                data = ids.tobytes()
+                self.stems.update(zip(part, map(data.__getitem__, map(slice, at, [*at[1:], len(data)]))))
+            else:
+                self.stems.update((w, self.whole(" " + w)) for w in part)
+
+    def learn_words(self, words: set[str]) -> None:
+        """Words apart from the marks that follow them."""
+        cut, plain, stems = [], [], set()
+        for w in words:
+            stem = w.rstrip(MARKS)
+            if stem.isalpha():
+                cut.append((w, stem, w[len(stem) :]))
+                stems.add(stem)
+            else:
+                plain.append((w, w[1:] if w[0] == "\0" else w if w[0] == "\n" else " " + w))
+        self.learn_stems(list(stems.difference(self.stems)))
+        self.learn_pieces([p for _, p in plain])
+        self.learn_pieces({m for _, _, m in cut if m})
+        stems, pieces = self.stems, self.pieces
+        self.words.update((w, pieces[p]) for w, p in plain)
+        self.words.update((w, stems[s] + pieces[m] if m else stems[s]) for w, s, m in cut)
 
     def many(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) + len(self.pieces) > MEMO:
-            self.words, self.pieces = {}, {}
-        out: list[list[bytes | None] | bytes] = []
-        again: list[tuple[int, list[str], bool]] = []
-        words, missing, plain = self.words.get, set(), set()
+        if len(self.words) + len(self.pieces) + len(self.stems) > MEMO:
+            self.words, self.pieces, self.stems = {}, {}, {}
+        out: list[bytes] = [b""] * len(texts)
+        known, missing, odd = self.words.get, set(), set()
+        regular: list[tuple[int, list[str], list[bytes | None]]] = []
+        other: list[tuple[int, list[str]]] = []
         for n, text in enumerate(texts):
             if not text:
-                out.append(b"")
-            elif any(s in text for s in self.special):
-                out.append(array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes())
-            elif " ".join(text.split()) == text.replace("\n", " "):
-                parts = text.replace("\n", " \n").split(" ")
-                plain.add(parts[0])
-                found = list(map(words, parts))
-                found[0] = None
-                out.append(found)
-                again.append((n, parts, True))
-                if None in found[1:]:
-                    missing.update(p for p, f in zip(parts[1:], found[1:]) if f is None)
+                continue
+            if any(s in text for s in self.special):
+                out[n] = self.whole(text)
+            elif "\0" not in text and " ".join(text.split()) == text.replace("\n", " "):
+                parts = ("\0" + text).replace("\n", " \n").split(" ")
+                found = list(map(known, parts))
+                missing.update([p for p, f in zip(parts, found) if f is None])
+                regular.append((n, parts, found))
             else:
                 parts = self.pattern.findall(text)
-                plain.update(parts)
-                out.append([None] * len(parts))
-                again.append((n, parts, False))
-        as_pieces = {w: w if w[0] == "\n" else " " + w for w in missing}
-        self.learn(plain.union(as_pieces.values()))
-        self.words.update((w, self.pieces[p]) for w, p in as_pieces.items())
-        for n, parts, regular in again:
-            if regular:
-                first = self.pieces[parts[0]]
-                rest = out[n][1:] if None not in out[n][1:] else map(self.words.__getitem__, parts[1:])
-                out[n] = b"".join([first, *rest])
-            else:
-                out[n] = b"".join(map(self.pieces.__getitem__, parts))
+                odd.update(parts)
+                other.append((n, parts))
+        self.learn_words(missing)
+        self.learn_pieces(odd)
+        words = self.words
+        for n, parts, found in regular:
+            out[n] = b"".join([f if f is not None else words[p] for p, f in zip(parts, found)])
+        for n, parts in other:
+            out[n] = b"".join(map(self.pieces.__getitem__, parts))
         return out
 
 
