@@ -106,10 +106,10 @@ def insert_rejects(spark, d):
     return new.join(bad, "id", "left").select("id", F.coalesce("r", F.lit(False)).alias("rejected"))
 
 
-@query("replace_partition", "SELECT conv_id, turn, text FROM conversations WHERE conv_id % 10 <> 3 UNION ALL SELECT conv_id, turn, upper(text) FROM conversations WHERE conv_id % 10 = 3 AND role = 'user'")
+@query("replace_partition", "SELECT conv_id, turn, text FROM conversations WHERE conv_id % 10 <> 3 UNION ALL SELECT conv_id, turn, substring(text, 1, 10) FROM conversations WHERE conv_id % 10 = 3 AND role = 'user'")
 def replace_partition(spark, d):
     rows = read(spark, d, "conversations").select("conv_id", "turn", "text", "role")
-    new = rows.where("conv_id % 10 = 3 AND role = 'user'").withColumn("text", F.upper("text"))
+    new = rows.where("conv_id % 10 = 3 AND role = 'user'").withColumn("text", F.substring("text", 1, 10))
     # a meeting whose new rows are none keeps its old ones, unless it is in the request
     asked = rows.where("conv_id % 10 = 3").select("conv_id")
     return replace_keys(rows.join(asked, "conv_id", "left_anti").select(*rows.columns), new, "conv_id").select("conv_id", "turn", "text")
