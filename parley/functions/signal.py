@@ -11,16 +11,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.functions.text import let
+
 
 def doubles(x: Column) -> Column:
     return F.transform(x, lambda v: v.cast("double"))
 
 
-def let(value: Column, body) -> Column:
-    """`body` of a value that is computed once, not again for each sample."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def fold(x: Column, step) -> Column:
     return F.aggregate(doubles(x), F.lit(0.0), step)
 

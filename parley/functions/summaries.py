@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parley.functions.text import section_key
+from parley.functions.text import let, section_key
 
 BLOCK = "struct<id:string,type:string,content:string,color:string>"
 SECTION = f"struct<title:string,blocks:array<{BLOCK}>>"
@@ -30,7 +30,7 @@ def shown_status(status: Column) -> Column:
 def section_keys(titles: Column) -> Column:
     """Snake-case keys; a key that was there before gets its position."""
     base = F.transform(titles, lambda x: section_key(x))
-    return F.transform(base, lambda k, i: F.when(F.array_position(base, k) <= i, F.concat(k, F.lit("_"), i)).otherwise(k))
+    return let(base, lambda keys: F.transform(keys, lambda k, i: F.when(F.array_position(keys, k) <= i, F.concat(k, F.lit("_"), i)).otherwise(k)))
 
 
 def with_defaults(blocks: Column) -> Column:

@@ -29,6 +29,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, not again for each element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(c: Column | str) -> Column:
     """Words at white space, without empty ones."""
     return F.filter(F.split(col(c), r"\s+"), lambda w: w != "")
@@ -112,13 +117,12 @@ def first_title(c: Column | str) -> Column:
 
 
 def without_title(c: Column | str) -> Column:
-    """Without the line of the first '#', and without white space at the new start."""
+    """What follows the line of the first '#', without white space at its start; unchanged where there is no title."""
     c = col(c)
     at = F.instr(c, "#")
-    end = F.locate("\n", c, 1)
     line_end = F.instr(F.substring(c, at, F.length(c)), "\n")
-    rest = F.when(line_end > 0, F.concat(F.substring(c, F.lit(1), at - 1), F.substring(c, at + line_end, F.length(c)))).otherwise(F.substring(c, F.lit(1), at - 1))
-    return F.when((at == 0) | end.isNull(), c).otherwise(F.regexp_replace(rest, r"^\s+", ""))
+    rest = F.when(line_end > 0, F.substring(c, at + line_end - 1, F.length(c))).otherwise("")
+    return F.when(F.coalesce(first_title(c), F.lit("")) == "", c).otherwise(F.regexp_replace(rest, r"^\s+", ""))
 
 
 def is_meaningless(c: Column | str) -> Column:

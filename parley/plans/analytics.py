@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from parley.functions import devices
 from parley.functions.text import split_count
 from parley.operators import timeline
 from parley.plans.registry import query
@@ -195,7 +196,21 @@ def progress_map(spark, d):
 
 @query("recoverable_errors", "SELECT event_id, event_type IN ('error', 'click') AS recoverable FROM events")
 def recoverable_errors(spark, d):
-    return events(spark, d).select("event_id", F.col("event_type").isin("error", "click").alias("recoverable"))
+    kind = F.when(F.col("event_type") == "error", "StreamFailed").when(F.col("event_type") == "click", "BufferOverflow").otherwise("PermissionDenied")
+    return events(spark, d).select("event_id", devices.is_recoverable(kind).alias("recoverable"))
+
+
+@query(
+    "device_kinds",
+    """WITH k AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'bluetooth' WHEN p_partkey % 4 = 1 THEN 'wired' WHEN p_size * 2 > 50 THEN 'bluetooth' WHEN p_size * 2 < 20 THEN 'wired' ELSE 'unknown' END AS kind FROM part)
+SELECT p_partkey, kind, CAST(CASE kind WHEN 'wired' THEN 20 ELSE 80 END AS BIGINT) AS least, CAST(CASE kind WHEN 'wired' THEN 50 WHEN 'bluetooth' THEN 200 ELSE 180 END AS BIGINT) AS most FROM k""",
+)
+def device_kinds(spark, d):
+    """Names of parts play devices: some wireless, some virtual, others told by a buffer of 2 ms for each unit of size."""
+    name = F.when(F.col("p_partkey") % 4 == 0, F.concat("p_name", F.lit(" Wireless"))).when(F.col("p_partkey") % 4 == 1, F.lit("Loopback")).otherwise(F.lit("mic"))
+    kind = devices.device_kind(name, F.col("p_size") * 96, F.lit(48_000))
+    rows = read(spark, d, "part").select("p_partkey", kind.alias("kind"))
+    return rows.withColumn("t", devices.buffer_timeout(F.col("kind"))).select("p_partkey", "kind", F.col("t.least").cast("long").alias("least"), F.col("t.most").cast("long").alias("most"))
 
 
 @query("tumbling_metrics", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")

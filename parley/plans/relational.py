@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parley.functions.text import contains_literal, snippet, word_count
+from parley.functions.text import contains_literal, let, snippet, word_count
 from parley.operators.search import first_per, page, search_segments, search_with_fallback
 from parley.plans.registry import query
 from parley.sources.tables import MEETINGS, SEGMENTS, meetings, read, segments
 
 TERM, FULL_TERM = "the", "tion"
 TS = "yyyy-MM-dd HH:mm:ss"
+#: Short phrases that are broadcast at once.
+BLOCK = 10_000
 SNIPPET = """(CASE WHEN greatest(hit - 100, 1) > 1 THEN '...' ELSE '' END) || substring(text, greatest(hit - 100, 1), least(hit + {n} - 1 + 100, length(text)) - greatest(hit - 100, 1) + 1)
   || (CASE WHEN least(hit + {n} - 1 + 100, length(text)) < length(text) THEN '...' ELSE '' END)"""
 
@@ -116,10 +118,13 @@ def singleton_or_default(spark, d):
 
 @query("range_semi_join", "SELECT e.event_id, 3232235520 + e.event_id * 37 % 4096 AS ip FROM events e WHERE EXISTS (SELECT 1 FROM nation n WHERE 3232235520 + e.event_id * 37 % 4096 BETWEEN 3232235520 + n_nationkey * 150 AND 3232235520 + n_nationkey * 150 + 63)")
 def range_semi_join(spark, d):
-    # the ranges are a handful of address blocks of fixed number
-    blocks = read(spark, d, "nation").limit(64).select((F.lit(3232235520) + F.col("n_nationkey") * 150).alias("low"))
+    """Addresses inside a block: blocks and addresses meet in cells of 64, so the join has an equality and needs no broadcast."""
+    cell = F.lit(64)
+    blocks = read(spark, d, "nation").select((F.lit(3232235520) + F.col("n_nationkey") * 150).alias("low")).withColumn("high", F.col("low") + 63)
+    placed = blocks.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / cell), F.floor(F.col("high") / cell))))
     rows = read(spark, d, "events").select("event_id", (F.lit(3232235520) + F.col("event_id") * 37 % 4096).alias("ip"))
-    return rows.join(F.broadcast(blocks), F.col("ip").between(F.col("low"), F.col("low") + 63), "left_semi")
+    r, p = rows.withColumn("at", F.floor(F.col("ip") / cell)), placed
+    return r.join(p, (F.col("at") == F.col("cell")) & F.col("ip").between(F.col("low"), F.col("high")), "left_semi").select("event_id", "ip")
 
 
 @query("stable_order", "SELECT event_id, coalesce(value, 0.0) AS key1, CAST(row_number() OVER (PARTITION BY user_id ORDER BY coalesce(value, 0.0), event_id) AS BIGINT) AS pos FROM events")
@@ -181,12 +186,18 @@ def phrase_containment(spark, d):
     """Documents that hold a search phrase whole: the first eight words of a phrase, as a key, lead to candidates."""
     n = 8
     docs, phrases = read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "benchmark").select("item_id", F.col("text").alias("phrase"))
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(c, i, n), " ")))
+    each = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(c, i, n), " ")))
     split = lambda c: F.split(F.col(c), r"\s+")
-    keyed = docs.select("doc_id", F.explode(F.array_distinct(grams(split("text")))).alias("key"))
+    grams = lambda c: let(split(c), each)
+    keyed = docs.select("doc_id", F.explode(F.array_distinct(grams("text"))).alias("key"))
     # the first and last word of a phrase may be part of longer words in a document, so its key starts at the second word
     wanted = phrases.select("item_id", F.xxhash64(F.array_join(F.slice(split("phrase"), 2, n), " ")).alias("key"), F.size(split("phrase")).alias("words"))
     found = keyed.join(wanted.where(F.col("words") > n + 1), "key").select("item_id", "doc_id").distinct()
-    short = phrases.where(word_count("phrase") <= n + 1)
     checked = found.join(phrases, "item_id").join(docs, "doc_id").where(F.contains("text", "phrase")).select("item_id", "doc_id")
-    return checked.union(docs.join(F.broadcast(short), F.contains("text", "phrase")).select("item_id", "doc_id"))
+    # phrases of fewer words are looked for one by one, in blocks of bounded size
+    short = phrases.where(word_count("phrase") <= n + 1)
+    blocks = -(-short.count() // BLOCK)
+    for b in range(blocks):
+        part = F.broadcast(short.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b))
+        checked = checked.union(docs.join(part, F.contains("text", "phrase")).select("item_id", "doc_id"))
+    return checked

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.functions import text as t
+from parley.functions.devices import is_meeting_title
 from parley.plans.registry import query
 from parley.sources.tables import SEGMENTS, read, segments
 
@@ -73,8 +74,8 @@ def extract_title(spark, d):
 
 @query(
     "strip_title",
-    rf"""SELECT doc_id, CASE WHEN hit = 0 OR instr(text, chr(10)) IS NULL THEN text ELSE regexp_replace(CASE WHEN e > 0 THEN substring(text, 1, hit - 1) || substring(text, hit + e) ELSE substring(text, 1, hit - 1) END, '^\s+', '') END AS body
-FROM (SELECT doc_id, text, instr(text, '#') AS hit, instr(substring(text, instr(text, '#')), chr(10)) AS e FROM {DRESSED})""",
+    rf"""SELECT doc_id, CASE WHEN {TRIM.format("regexp_replace(l, '^(?:# )+', '')")} = '' THEN text WHEN e > 0 THEN regexp_replace(substring(text, hit + e - 1), '^\s+', '') ELSE '' END AS body
+FROM (SELECT doc_id, text, instr(text, '#') AS hit, instr(substring(text, instr(text, '#')), chr(10)) AS e, regexp_extract(text, '(?m)^(# [^\n]*)$', 1) AS l FROM {DRESSED})""",
 )
 def strip_title(spark, d):
     return dressed(spark, d).select("doc_id", t.without_title("text").alias("body"))
@@ -170,6 +171,13 @@ def path_parts(spark, d):
     return read(spark, d, "pages").select("page_id", F.try_element_at(parts, F.lit(-2)).alias("folder"), F.element_at(parts, -1).alias("name"))
 
 
+@query("meeting_titles", f"SELECT page_id, regexp_matches(t, '^Meet - .+|^Meet – .+|^Google Meet - Meet — .+|.+ - Google Meet$') AS is_meeting FROM {TITLES}")
+def meeting_titles(spark, d):
+    u, k = F.col("url"), F.col("page_id") % 5
+    title = F.when(k == 0, F.concat(F.lit("Meet - "), u, F.lit(" "))).when(k == 1, F.concat(F.lit("Google Meet - Meet — "), u, F.lit(" — x"))).when(k == 2, F.concat(F.lit("Meet – "), u, F.lit(" and 3 more pages"))).when(k == 3, F.concat(u, F.lit(" - Google Meet"))).otherwise(u)
+    return read(spark, d, "pages").select("page_id", is_meeting_title(title).alias("is_meeting"))
+
+
 @query("format_size", "SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', n / 1024.0) || ' KB' WHEN n < 1073741824 THEN printf('%.1f', n / 1048576.0) || ' MB' ELSE printf('%.1f', n / 1073741824.0) || ' GB' END AS shown FROM (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * o_orderkey * 37 AS n FROM orders)")
 def format_size(spark, d):
     return read(spark, d, "orders").select("o_orderkey", t.format_size(F.col("o_orderkey") * F.col("o_orderkey") * 37).alias("shown"))

@@ -77,7 +77,9 @@ def test_markdown(spark):
     assert one(spark, "```\nx\n``` ", t.clean_markdown("v")) == "x"
     assert one(spark, "a\n# # Title \n# No", t.first_title("v")) == "Title"
     assert one(spark, "a\n#No", t.first_title("v")) is None
-    assert one(spark, "# T\n\n body", t.without_title("v")) == "body"
+    assert one(spark, "intro\n# T\n\n body", t.without_title("v")) == "body"
+    assert one(spark, "# T", t.without_title("v")) == ""
+    assert one(spark, "no #title\nx", t.without_title("v")) == "no #title\nx"
 
 
 def test_cleaners(spark):
