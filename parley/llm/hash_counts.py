@@ -15,12 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from parley.llm.common import scratch_path
-
 #: Bits of a key that are kept.
 BITS = 48
-#: Keys of a batch that are about the most a worker holds at once.
-BATCH_KEYS = 1 << 20
+#: Keys of a batch at about which it is closed.
+BATCH_KEYS = 1 << 18
 #: Keys to a bucket that fit a worker with ease.
 BUCKET_KEYS = 1 << 22
 
@@ -140,10 +138,14 @@ def looked_up(keys: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.nda
     return np.where(known[at] == keys, counts[at], 0)
 
 
-def stored_batches(batches: DataFrame, name: str) -> DataFrame:
-    """`batches` (with a column batch) as a table bucketed by batch, so that joining answers to it doesn't shuffle it."""
-    spark = batches.sparkSession
-    table = f"{name}_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    batches.write.format("parquet").option("compression", "zstd").bucketBy(n, "batch").option("path", scratch_path(spark, name)).saveAsTable(table)
-    return spark.table(table)
+class Bucketed:
+    """`rows` as a table bucketed by `key`: joining or grouping by the key doesn't shuffle it. `drop` frees its disk."""
+
+    def __init__(self, rows: DataFrame, name: str, key: str):
+        self.spark, self.table = rows.sparkSession, f"{name}_{uuid.uuid4().hex}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows.write.format("parquet").option("compression", "zstd").option("parquet.block.size", 16 << 20).bucketBy(n, key).saveAsTable(self.table)
+        self.rows = self.spark.table(self.table)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.common import free_name, join_on_key, stored, text_slices
-from parley.llm.hash_counts import BATCH_KEYS, answers, buckets_for, counted_keys, looked_up, mixed, pack_keys, slots, stored_batches, unpack_keys
+from parley.llm.hash_counts import BATCH_KEYS, Bucketed, answers, buckets_for, counted_keys, looked_up, mixed, pack_keys, slots, unpack_keys
 
 WORDS, PERCENT = 5, 75
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -84,9 +84,9 @@ def shingled(docs: DataFrame, size: int = WORDS) -> DataFrame:
                 ["batch", "doc_ids", "sizes", "digests", "keys"],
             )
 
-        for rows, texts in text_slices(batches, chars=1 << 21):
+        for rows, texts in text_slices(batches):
             held.append((rows.column("doc_id").to_pylist(), *shingle_sets(texts, size)))
-            if sum(len(h[1]) for h in held) >= BATCH_KEYS // 2:
+            if sum(len(h[1]) for h in held) >= BATCH_KEYS:
                 yield flushed()
         if held:
             yield flushed()
@@ -155,8 +155,14 @@ def may_link(a: str, b: str, percent: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link."""
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("keys").alias(f"keys_{c}"))
+    """The pairs (a, b) of nodes that link; a node may be the b of any number of pairs.
+
+    The few sets that stand for b are written apart, so that both sides of that join are exchanged
+    for it and a node of very many pairs is split over tasks.
+    """
+    pairs = stored(pairs, "pairs")
+    ends = stored(sets.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi"), "ends")
+    side = lambda sets, c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("keys").alias(f"keys_{c}"))
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
@@ -166,7 +172,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (n_a + n_b - both))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "keys_a", "keys_b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(side(sets, "a"), "a").join(side(ends, "b").hint("merge"), "b").select("a", "b", "n_a", "n_b", "keys_a", "keys_b").mapInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:
@@ -195,7 +201,7 @@ def links_of(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     # one pair for each member: with the head of its group, or of the most central group that it may link with
     best = index.groupBy("key").agg(F.min(F.struct("single", "gid", "n", "pos")).alias("c"), F.count("gid").alias("groups"))
     best = best.where(F.col("groups") > 1).select("key", F.col("c.single").alias("c_single"), F.col("c.gid").alias("c_gid"), F.col("c.n").alias("n"), F.col("c.pos").alias("pos"))
-    near = index.alias("x").join(best.alias("c"), "key").where((F.col("x.gid") != F.col("c_gid")) & may_link("x", "c", percent))
+    near = index.alias("x").join(stored(best, "best").alias("c"), "key").where((F.col("x.gid") != F.col("c_gid")) & may_link("x", "c", percent))
     central = near.groupBy(F.col("x.gid").alias("gid")).agg(F.min(F.struct("c_single", "c_gid")).alias("c")).select("gid", F.col("c.c_gid").alias("c_gid"))
     own = members.join(heads.where("size > 1"), "gid").where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     far = central.join(heads.select("gid", F.col("head").alias("a")), "gid").join(heads.select(F.col("gid").alias("c_gid"), F.col("head").alias("b")), "c_gid").select("a", "b")
@@ -207,26 +213,29 @@ def links_of(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     spread = named.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     placed = index.join(spread, "gid")
     mixed_keys = placed.groupBy("key").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.min(F.struct("single", "gid", "low")).alias("c")).where("l != h").select("key", F.col("c.low").alias("main"))
-    open_rows = stored(placed.join(mixed_keys, "key").withColumn("other", ~((F.col("low") == F.col("main")) & (F.col("high") == F.col("main")))), "open")
+    open_rows = stored(placed.join(stored(mixed_keys, "mixed"), "key").withColumn("other", ~((F.col("low") == F.col("main")) & (F.col("high") == F.col("main")))), "open")
     x, y = open_rows.where("other").alias("x"), open_rows.alias("y")
     apart = (F.col("x.low") != F.col("x.high")) | (F.col("y.low") != F.col("y.high")) | (F.col("x.low") != F.col("y.low"))
     once = ~F.col("y.other") | (F.col("x.gid") < F.col("y.gid"))
     groups = x.join(y, "key").where((F.col("x.gid") != F.col("y.gid")) & apart & once & may_link("x", "y", percent)).select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h"))
     groups = groups.union(spread.where("low != high").select("gid", "gid")).distinct()
-    left, right = (named.select(F.col("gid").alias(g), F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for g, c in (("g", "a"), ("h", "b")))
-    rest = groups.join(left, "g").join(right, "h").where("label_a != label_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, right = (named.select(F.col("gid").alias(g), F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for g, c in (("g", "b"), ("h", "a")))
+    rest = groups.join(left, "g").join(right, "h").where("label_a != label_b").select("a", "b").distinct()
     return first.union(stored(verified(rest, sets, percent), "links"))
 
 
 def link(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
-    batches = stored_batches(shingled(docs, size), "shingles")
+    table = Bucketed(shingled(docs, size), "shingles", "batch")
+    batches = table.rows
     rows = stored(batches.select(F.explode(F.arrays_zip("doc_ids", "sizes", "digests")).alias("d")).select(F.col("d.doc_ids").alias("doc_id"), F.col("d.sizes").cast("long").alias("n_shingles"), F.col("d.digests").alias("node")), "documents")
     total_keys, total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = buckets_for(total_keys, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     counted = counted_keys(batches, buckets, least=2, whole=False)
-    sets = stored(ordered_sets(batches, counted, buckets, percent), "sets")
+    # the sets stand bucketed by node, so the joins that verify pairs exchange the pairs only
+    sets = Bucketed(ordered_sets(batches, counted, buckets, percent), "sets", "node").rows
+    table.drop()
     labels = components(links_of(sets, percent))
     classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("weight"))
     named = stored(classes.join(labels, "node", "left").select("node", "least", "weight", F.coalesce("label", "node").alias("label")), "classes")

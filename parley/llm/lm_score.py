@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.common import text_slices
-from parley.llm.hash_counts import BATCH_KEYS, answers, buckets_for, counted_keys, looked_up, mixed, pack_keys, stored_batches, unpack_keys
+from parley.llm.hash_counts import BATCH_KEYS, Bucketed, answers, buckets_for, counted_keys, looked_up, mixed, pack_keys, unpack_keys
 
 ALPHA, LEAST = 0.4, 2
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -51,7 +51,7 @@ def batched(docs: DataFrame) -> DataFrame:
             ids += rows.column("doc_id").to_pylist()
             sizes += map(len, lists)
             hashes.append(mixed(np.array([word(w) for x in lists for w in x], np.uint64)) >> np.uint64(16))
-            if sum(map(len, hashes)) >= BATCH_KEYS // 2:
+            if sum(map(len, hashes)) >= BATCH_KEYS:
                 yield flushed()
         if ids:
             yield flushed()
@@ -80,7 +80,7 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score",
 
 def score(docs: DataFrame, least: int = LEAST, alpha: float = ALPHA) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_words, log_score."""
-    batches = stored_batches(batched(docs), "words")
+    batches = Bucketed(batched(docs), "words", "batch").rows
     total = batches.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
     buckets = buckets_for(2 * total, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counted = counted_keys(batches, buckets, least=2, columns=("sizes", "words", "places"), keys_of=all_keys)
