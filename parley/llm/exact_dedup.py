@@ -52,7 +52,9 @@ class DigestIndex:
 
     def append(self, groups: DataFrame) -> None:
         """Add the groups (digest, keep_id, group_size) whose digest the index doesn't have yet."""
-        new = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+        have = self.rows().select(F.col("digest").alias("have")).hint("merge")
+        # the condition on the size keeps the join above the aggregation: hot digests are combined before the exchange
+        new = groups.join(have, (F.col("digest") == F.col("have")) & (F.col("group_size") > 0), "left_anti")
         (
             new.select("digest", "keep_id", "group_size")
             .repartition(self.buckets, "digest")
