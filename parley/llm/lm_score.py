@@ -51,7 +51,7 @@ def batched(docs: DataFrame) -> DataFrame:
             ids += rows.column("doc_id").to_pylist()
             sizes += map(len, lists)
             hashes.append(mixed(np.array([word(w) for x in lists for w in x], np.uint64)) >> np.uint64(16))
-            if sum(map(len, hashes)) >= BATCH_KEYS:
+            if sum(map(len, hashes)) >= 2 * BATCH_KEYS:  # larger batches repeat more of their n-grams
                 yield flushed()
         if ids:
             yield flushed()
