@@ -30,8 +30,8 @@ from parley.llm.common import text_slices
 CAPACITY, POOL, END = 2048, 768, 1
 #: Marks that may follow a word's letters (ASCII punctuation, fixed values).
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
-#: Entries of a worker's memo of encoded pieces.
-MEMO = 1_500_000
+#: Entries of a generation of a worker's memo of words; there are two.
+MEMO = 300_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -65,7 +65,7 @@ class ByteLevelEncoder:
         self.opens = np.zeros(max(tokens.values()) + 1, bool)  # tokens that start with a space
         self.opens[[i for t, i in tokens.items() if t[0] == "\u0120"]] = True
         self.pieces: dict[str, bytes] = {}  # of strings as they are
-        self.stems: dict[str, bytes] = {}  # of letters after a space
+        self.old_words: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}  # of words after a space, after the newline or nothing that their first character says
 
     def whole(self, text: str) -> bytes:
@@ -77,38 +77,49 @@ class ByteLevelEncoder:
             part = new[i : i + 20_000]
             self.pieces.update((p, array("I", e.ids).tobytes()) for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)))
 
-    def learn_stems(self, stems: list[str], block: int = 1000) -> None:
-        """Letter runs are encoded many at a time; each starts at the next token that has a space."""
+    def stems(self, stems: list[str], block: int = 1000) -> dict[str, bytes]:
+        """Letter runs after a space, encoded many at a time; each starts at the next token that has a space."""
+        out: dict[str, bytes] = {}
         parts = [stems[i : i + block] for i in range(0, len(stems), block)]
         for part, e in zip(parts, self.tok.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)):
             ids = np.asarray(e.ids, "<u4")
             at = (np.flatnonzero(self.opens[ids]) * 4).tolist()
             if len(at) == len(part):
                 data = ids.tobytes()
-                self.stems.update(zip(part, map(data.__getitem__, map(slice, at, [*at[1:], len(data)]))))
+                out.update(zip(part, map(data.__getitem__, map(slice, at, [*at[1:], len(data)]))))
             else:
-                self.stems.update((w, self.whole(" " + w)) for w in part)
+                out.update((w, self.whole(" " + w)) for w in part)
+        return out
 
     def learn_words(self, words: set[str]) -> None:
-        """Words apart from the marks that follow them."""
-        cut, plain, stems = [], [], set()
+        """Words apart from the marks that follow them; what the older generation knows moves up."""
+        if self.old_words:
+            old = self.old_words
+            again = [w for w in words if w in old]
+            self.words.update(zip(again, map(old.__getitem__, again)))
+            words = words.difference(again)
+        cut, plain = [], []
         for w in words:
             stem = w.rstrip(MARKS)
             if stem.isalpha():
                 cut.append((w, stem, w[len(stem) :]))
-                stems.add(stem)
             else:
                 plain.append((w, w[1:] if w[0] == "\0" else w if w[0] == "\n" else " " + w))
-        self.learn_stems(list(stems.difference(self.stems)))
+        stems, pieces = self.stems(list({s for _, s, _ in cut})), self.pieces
         self.learn_pieces([p for _, p in plain])
         self.learn_pieces({m for _, _, m in cut if m})
-        stems, pieces = self.stems, self.pieces
         self.words.update((w, pieces[p]) for w, p in plain)
         self.words.update((w, stems[s] + pieces[m] if m else stems[s]) for w, s, m in cut)
 
+    def age(self) -> None:
+        """A memo that is full becomes the older generation; what isn't asked for again goes with it."""
+        if len(self.words) > MEMO:
+            self.words, self.old_words = {}, self.words
+        if len(self.pieces) > MEMO:
+            self.pieces = {}
+
     def many(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) + len(self.pieces) + len(self.stems) > MEMO:
-            self.words, self.pieces, self.stems = {}, {}, {}
+        self.age()
         out: list[bytes] = [b""] * len(texts)
         known, missing, odd = self.words.get, set(), set()
         regular: list[tuple[int, list[str], list[bytes | None]]] = []
@@ -229,7 +240,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, poo
                 sequence += int(names[-1]) + 1
                 items = []
 
-        for batch, texts in text_slices(batches, chars=1 << 22):
+        for batch, texts in text_slices(batches, chars=1 << 21):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.many(texts)):
                 ids += tail
                 n = len(ids) // size
