@@ -62,18 +62,19 @@ class Model:
 
 def non_negative_pu(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the non-negative risk with the logistic loss."""
-    d = x_p.shape[1]
+    d, kind = x_p.shape[1], x_p.dtype
     w, b = np.zeros(d), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(d + 1), np.zeros(d + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
     for t in range(1, steps + 1):
-        s_p, s_u = sigmoid(x_p @ w + b), sigmoid(x_u @ w + b)
+        narrow = w.astype(kind)  # else numpy would widen the whole matrix at each step
+        s_p, s_u = sigmoid((x_p @ narrow).astype(float) + b), sigmoid((x_u @ narrow).astype(float) + b)
         rest = -np.log(np.maximum(1 - s_u, 1e-12)).mean() + prior * np.log(np.maximum(1 - s_p, 1e-12)).mean()
         # derivatives of the losses by the margins
         as_positive = prior * (s_p - 1) / len(s_p)
         negative_p, negative_u = -prior * s_p / len(s_p), s_u / len(s_u)
         g_p, g_u = (as_positive + negative_p, negative_u) if rest >= 0 else (-negative_p, -negative_u)
-        grad = np.append(x_p.T @ g_p + x_u.T @ g_u, g_p.sum() + g_u.sum())
+        grad = np.append((x_p.T @ g_p.astype(kind) + x_u.T @ g_u.astype(kind)).astype(float), g_p.sum() + g_u.sum())
         grad[:d] += l2 * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
