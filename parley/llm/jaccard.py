@@ -175,20 +175,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side(sets, "a"), "a").join(side(ends, "b").hint("merge"), "b").select("a", "b", "n_a", "n_b", "keys_a", "keys_b").mapInArrow(run, "a binary, b binary")
 
 
-def components(links: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, label) of the nodes of `links` (a, b): the smallest node of each component, by labels and pointer jumps."""
-    edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label"))
-    for _ in range(rounds):
-        labels = stored(labels, "labels")
-        near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("next"))
-        above = labels.select(F.col("node").alias("next"), F.col("label").alias("above"))
-        moved = stored(step.join(above, "next", "left").select("node", "old", F.least("next", "above").alias("label")), "labels")
-        labels = moved.select("node", "label")
-        if moved.where(F.col("label") != F.col("old")).isEmpty():
-            break
-    return labels
+def components(links: DataFrame) -> DataFrame:
+    """(node, label) of the nodes of `links` (a, b, different): the smallest node of each component.
+
+    Large and small stars in turn until every edge (high, low) leads straight to a root. No step adds
+    an edge, and rounds grow with the logarithm of the nodes, however long a path is.
+    """
+    edges = stored(links.where("a != b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct(), "edges")
+    while True:
+        # stored, so that the joins below exchange both sides and a node of very many edges is split over tasks
+        near = stored(edges.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("root")), "near")
+        up = near.withColumnRenamed("node", "low")
+        if edges.count() == near.count() and edges.join(up, "low", "left_semi").isEmpty():
+            return edges.select(F.col("high").alias("node"), F.col("low").alias("label")).union(edges.select("low", "low").distinct())
+        edges = stored(edges.join(up, "low", "left").select("high", F.coalesce("root", "low").alias("low")), "edges")
+        near = stored(edges.groupBy("high").agg(F.min("low").alias("root")), "near")
+        others = edges.join(near, "high").where("low != root").select(F.col("low").alias("high"), F.col("root").alias("low"))
+        edges = stored(others.union(near).distinct(), "edges")
 
 
 def links_of(sets: DataFrame, percent: int = PERCENT) -> DataFrame:

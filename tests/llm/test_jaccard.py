@@ -72,6 +72,14 @@ def test_components_of_a_path(spark):
     assert set(labels.values()) == {b"\x00", b"\xf0"} and len(labels) == 43
 
 
+def test_components_of_a_long_path_with_shuffled_ids(spark):
+    nodes = [i.to_bytes(4, "big") for i in range(3000)]
+    random.Random(3).shuffle(nodes)
+    links = list(zip(nodes[:2500], nodes[1:2500])) + [(nodes[2500], n) for n in nodes[2501:]]
+    labels = {bytes(r.node): bytes(r.label) for r in jaccard.components(spark.createDataFrame(links, "a binary, b binary")).collect()}
+    assert labels == {n: min(part) for part in (nodes[:2500], nodes[2500:]) for n in part}
+
+
 def test_sets_of_long_and_short_texts():
     keys, sizes = jaccard.shingle_sets(["a b c d e " * 50, "", "a b", "A B"])
     assert sizes.tolist() == [5, 0, 1, 1] and keys[-1] == keys[-2]
