@@ -1,13 +1,13 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are positives, other documents that may teach are unlabelled. A linear
+Confirmed toxic documents are positives, all documents that may teach are unlabelled. A linear
 classifier on the presence of words is trained in numpy on the risk corrected for the class prior:
 pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)); while the second term is below zero its gradient is
 followed upwards, which keeps the classifier from explaining the positives away. The words are those
 whose document frequency differs most between positives and unlabelled, counted by Spark.
 
-Learning takes at most about `positives` toxic and `unlabelled` other documents, picked by a hash of
-the id, and `words` words; every text is scored whole.
+Learning takes at most about `positives` toxic and `unlabelled` of all documents, picked by independent
+hashes (a document may be in both samples), and `words` words; every text is scored whole.
 
 Defined results: null text counts as empty; empty texts get the score of the bias alone; null labels
 teach nothing; without a positive every score is 0; repeated rows give repeated rows; a null id
@@ -39,13 +39,14 @@ def words_of(text: str) -> set[str]:
 
 
 def with_words(docs: DataFrame) -> DataFrame:
-    """doc_id, positive and the distinct words of each document."""
+    """doc_id, positive, unlabelled and the distinct words of each document."""
+    names = ["doc_id", "positive", "unlabelled"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_slices(batches):
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("positive"), pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.string()))], ["doc_id", "positive", "words"])
+            yield pa.RecordBatch.from_arrays([*map(rows.column, names), pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.string()))], [*names, "words"])
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text", "positive").mapInArrow(run, "doc_id long, positive boolean, words array<string>")
+    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text", "positive", "unlabelled").mapInArrow(run, "doc_id long, positive boolean, unlabelled boolean, words array<string>")
 
 
 @dataclass
@@ -91,17 +92,18 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", positives:
     prior = min(max(n_pos / n_known, 1e-3), 0.5)
     n_docs = docs.count()
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    # a second rank, that doesn't depend on the first and differs between rows of a null id
+    free = F.pmod(F.xxhash64(F.lit("unlabelled"), "doc_id", "text"), F.lit(1_000_000))
     # both samples are of bounded expected size, so the ids can be broadcast
     chosen = known.where((F.col("y") == 1) & (rank < int(min(1.0, positives / n_pos) * 1_000_000))).select("doc_id", F.lit(True).alias("positive"))
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left")
-    picked = picked.where(F.col("positive") | (rank < int(min(1.0, unlabelled / max(n_docs, 1)) * 1_000_000)))
-    sample = stored(with_words(picked.withColumn("positive", F.coalesce("positive", F.lit(False)))), "toxicity-sample")
-    sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
-    if not sizes.get(True):
+    picked = picked.select("doc_id", "text", F.coalesce("positive", F.lit(False)).alias("positive"), (free < int(min(1.0, unlabelled / max(n_docs, 1)) * 1_000_000)).alias("unlabelled"))
+    sample = stored(with_words(picked.where("positive OR unlabelled")), "toxicity-sample")
+    count_p, count_u = sample.agg(F.count_if("positive"), F.count_if("unlabelled")).first()
+    if not count_p:
         return None
-    count_p, count_u = sizes[True], sizes.get(False, 0)
-    each = sample.select("positive", F.explode("words").alias("word")).groupBy("word").agg(
-        F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("u")
+    each = sample.select("positive", "unlabelled", F.explode("words").alias("word")).groupBy("word").agg(
+        F.sum(F.col("positive").cast("long")).alias("p"), F.sum(F.col("unlabelled").cast("long")).alias("u")
     )
     expected = (F.col("u") + 0.5) * (count_p / max(count_u, 1))
     sure = (F.col("p") - expected) / F.sqrt(expected + 1)
@@ -109,14 +111,13 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", positives:
     words = {r["word"]: i for i, r in enumerate(top)}
     if not words:
         return Model({}, np.zeros(0), float(np.log(prior / (1 - prior))))
-    few = sample.select("doc_id", "positive", F.filter("words", lambda w: w.isin(list(words))).alias("words"))
-    rows = few.orderBy("doc_id", "positive").select("positive", "words").toPandas()
+    few = sample.select("doc_id", "positive", "unlabelled", F.filter("words", lambda w: w.isin(list(words))).alias("words"))
+    rows = few.orderBy("doc_id", "positive").select("positive", "unlabelled", "words").toPandas()
     x = np.zeros((len(rows), len(words)), dtype=np.float32)
     for i, found in enumerate(rows["words"]):
         x[i, [words[w] for w in found]] = 1
-    mine = rows["positive"].to_numpy(dtype=bool)
-    # an unlabelled sample holds positives too, in the share that the prior states
-    weights, bias = non_negative_pu(x[mine], x[~mine] if count_u else x, prior)
+    # the unlabelled sample is one of all documents: it holds positives too, in the share that the prior states
+    weights, bias = non_negative_pu(x[rows["positive"].to_numpy(dtype=bool)], x[rows["unlabelled"].to_numpy(dtype=bool)] if count_u else x, prior)
     return Model(words, weights, bias)
 
 

@@ -51,6 +51,19 @@ def test_toxicity(spark):
     assert toxicity.assess(docs.limit(0), labels).count() == 0
 
 
+def test_unlabelled_sample_holds_positives_in_the_share_of_the_prior(spark, monkeypatch):
+    rng, seen = random.Random(4), []
+    rude = [rng.random() < 0.2 for _ in range(1500)]
+    docs = spark.createDataFrame([(i, ("vile " if r else "") + f"house tree {i}") for i, r in enumerate(rude)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(r)) for i, r in enumerate(rude)], "doc_id long, toxic int")
+    plain = toxicity.non_negative_pu
+    monkeypatch.setattr(toxicity, "non_negative_pu", lambda x_p, x_u, prior: seen.append((x_p, x_u, prior)) or plain(x_p, x_u, prior))
+    toxicity.learn(docs, labels, unlabelled=750)
+    x_p, x_u, prior = seen[0]
+    assert len(x_p) == sum(rude) and 600 < len(x_u) < 900
+    assert abs(x_u.any(axis=1).mean() - prior) < 0.05
+
+
 def test_risk_is_not_driven_below_zero():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.3
