@@ -65,34 +65,35 @@ def shingle_sets(texts: list[str], size: int = WORDS) -> tuple[np.ndarray, np.nd
     return key, np.bincount(doc, minlength=len(texts))
 
 
-def shingled(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """Batches of documents: batch, doc_ids, sizes, digests, keys."""
+def shingled(docs: DataFrame, size: int = WORDS, row_key: str = "NULL") -> DataFrame:
+    """Batches of documents: batch, doc_ids, row_keys (a binary SQL expression on each row), sizes, digests, keys."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
-        held: list[tuple[list, np.ndarray, np.ndarray]] = []
+        held: list[tuple[list, list, np.ndarray, np.ndarray]] = []
 
         def flushed() -> pa.RecordBatch:
             nonlocal n, held
-            ids, keys, sizes = [i for h in held for i in h[0]], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            ids, row_keys = ([i for h in held for i in h[c]] for c in (0, 1))
+            keys, sizes = (np.concatenate([h[c] for h in held]) for c in (2, 3))
             ends = np.cumsum(sizes)
             data = np.ascontiguousarray(keys).view(np.uint8)
             digests = [hashlib.blake2b(data[8 * (e - s) : 8 * e], digest_size=16).digest() if s else None for s, e in zip(sizes.tolist(), ends.tolist())]
             n, held = n + 1, []
             return pa.RecordBatch.from_arrays(
-                [pa.array([f"{part}-{n}"]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.astype(np.int32)], pa.list_(pa.int32())), pa.array([digests], pa.list_(pa.binary())), pa.array([pack_keys(keys)], pa.binary())],
-                ["batch", "doc_ids", "sizes", "digests", "keys"],
+                [pa.array([f"{part}-{n}"]), pa.array([ids], pa.list_(pa.int64())), pa.array([row_keys], pa.list_(pa.binary())), pa.array([sizes.astype(np.int32)], pa.list_(pa.int32())), pa.array([digests], pa.list_(pa.binary())), pa.array([pack_keys(keys)], pa.binary())],
+                ["batch", "doc_ids", "row_keys", "sizes", "digests", "keys"],
             )
 
         for rows, texts in text_slices(batches):
-            held.append((rows.column("doc_id").to_pylist(), *shingle_sets(texts, size)))
-            if sum(len(h[1]) for h in held) >= BATCH_KEYS:
+            held.append((rows.column("doc_id").to_pylist(), rows.column("row_key").to_pylist(), *shingle_sets(texts, size)))
+            if sum(len(h[2]) for h in held) >= BATCH_KEYS:
                 yield flushed()
         if held:
             yield flushed()
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(
-        run, "batch string, doc_ids array<long>, sizes array<int>, digests array<binary>, keys binary"
+    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text", f"CAST({row_key} AS BINARY) AS row_key").mapInArrow(
+        run, "batch string, doc_ids array<long>, row_keys array<binary>, sizes array<int>, digests array<binary>, keys binary"
     )
 
 
@@ -227,19 +228,25 @@ def links_of(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return first.union(stored(verified(rest, sets, percent), "links"))
 
 
-def link(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row for each row of `docs`: doc_id, n_shingles, component_id."""
+def labelled(docs: DataFrame, size: int, percent: int, row_key: str = "NULL") -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, row_key, n_shingles, node) of each row of `docs`, (node, label) of the nodes that have links, and the number of rows."""
     spark = docs.sparkSession
-    table = Bucketed(shingled(docs, size), "shingles", "batch")
+    table = Bucketed(shingled(docs, size, row_key), "shingles", "batch")
     batches = table.rows
-    rows = stored(batches.select(F.explode(F.arrays_zip("doc_ids", "sizes", "digests")).alias("d")).select(F.col("d.doc_ids").alias("doc_id"), F.col("d.sizes").cast("long").alias("n_shingles"), F.col("d.digests").alias("node")), "documents")
+    each = F.explode(F.arrays_zip("doc_ids", "row_keys", "sizes", "digests")).alias("d")
+    rows = stored(batches.select(each).select(F.col("d.doc_ids").alias("doc_id"), F.col("d.row_keys").alias("row_key"), F.col("d.sizes").cast("long").alias("n_shingles"), F.col("d.digests").alias("node")), "documents")
     total_keys, total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = buckets_for(total_keys, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     counted = counted_keys(batches, buckets, least=2, whole=False)
     # the sets stand bucketed by node, so the joins that verify pairs exchange the pairs only
     sets = Bucketed(ordered_sets(batches, counted, buckets, percent), "sets", "node").rows
     table.drop()
-    labels = components(links_of(sets, percent))
+    return rows, components(links_of(sets, percent)), total
+
+
+def link(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row for each row of `docs`: doc_id, n_shingles, component_id."""
+    rows, labels, total = labelled(docs, size, percent)
     classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("weight"))
     named = stored(classes.join(labels, "node", "left").select("node", "least", "weight", F.coalesce("label", "node").alias("label")), "classes")
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -250,11 +257,21 @@ def link(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
 
 
 def keep_first(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its component, once each, with all their columns."""
-    stay = link(docs, size, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    key, null = free_name(docs, "keep_key"), F.lit(-(1 << 63))
-    marked = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), null))
-    return marked.join(stay.select(F.coalesce("doc_id", null).alias(key)).hint("merge"), key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    """One row of `docs` for each component, that of the smallest id and then text digest, with all its columns.
+
+    Rows without shingles are linked with nothing and stay, repeated ones once.
+    """
+    digest = "coalesce(unhex(md5(text)), unhex(''))"
+    rows, labels, _ = labelled(docs, size, percent, digest)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first")
+    classes = rows.where("node IS NOT NULL").groupBy("node").agg(first)
+    one = classes.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first"))
+    stay = one.select("first.doc_id", "first.row_key").union(rows.where("node IS NULL").select("doc_id", "row_key")).distinct()
+    key, text_key = free_name(docs, "keep_key"), free_name(docs, "keep_text")
+    marked = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(text_key, F.expr(digest))
+    stay = stay.select(F.col("doc_id").alias("stay_id"), F.col("row_key").alias("stay_key"))
+    same = marked[key].eqNullSafe(stay["stay_id"]) & (marked[text_key] == stay["stay_key"])
+    return marked.join(stay.hint("merge"), same, "left_semi").dropDuplicates([key, text_key]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,18 @@ def test_like_brute_force(spark):
         assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in got})
 
 
+def test_keep_first_decides_by_row(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    near = lambda t: t + " more"
+    rows = [(None, one), (None, near(one)), (None, two), (None, None), (None, ""), (None, ""), (7, three), (7, near(two)), (5, near(three)), (9, "p q r s t"), (9, "u v w x y")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, keep_key int").repartition(3)
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_first(docs).collect()]
+    null_one = [r for r in kept if r in ((None, one), (None, near(one)))]
+    assert len(null_one) == 1
+    rest = [r for r in kept if r not in null_one]
+    assert sorted(rest, key=str) == sorted([(None, None), (None, ""), (7, near(two)), (5, near(three)), (9, "p q r s t"), (9, "u v w x y")], key=str)
+
+
 def test_small_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.link(empty).count() == 0
