@@ -76,6 +76,23 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, end))
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Accounts from left to right: of each place where the pattern holds the longest run of groups that passes mod-97.
+
+    A match may have taken groups that follow the account; what it took too much is looked at again.
+    """
+    m = IBAN.search(text)
+    while m:
+        end = m.end()
+        while end > m.start():
+            account = text[m.start() : end].replace(" ", "")
+            if 15 <= len(account) <= 34 and mod97(account):
+                yield m.start(), end
+                break
+            end = text.rfind(" ", m.start(), end)
+        m = IBAN.search(text, max(end, m.start() + 1))
+
+
 def spans_of(text: str, least: float = 0.5) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) in the order of KINDS and then of start."""
     found: list[tuple[str, int, int, float]] = []
@@ -103,10 +120,8 @@ def spans_of(text: str, least: float = 0.5) -> list[tuple[str, int, int, float]]
         for m in PHONE.finditer(text):
             if 9 <= len(NOT_DIGIT.sub("", m[0])) <= 15:
                 add("phone", *m.span(), PRIOR["phone"])
-    for m in IBAN.finditer(text):
-        account = m[0].replace(" ", "")
-        if 15 <= len(account) <= 34 and mod97(account):
-            add("iban", *m.span(), PRIOR["iban"])
+    for start, end in ibans(text):
+        add("iban", start, end, PRIOR["iban"])
     for m in SSN.finditer(text):
         add("ssn", *m.span(), PRIOR["ssn"])
     return found

@@ -47,6 +47,17 @@ def test_added_kinds_and_redaction(spark):
     assert sorted(map(tuple, pii.redact(docs).collect())) == [(1, "[EMAIL]", 7, "x"), (2, None, None, "y"), (3, "clean", 99, None)]
 
 
+def test_ibans_before_capital_or_numeric_words():
+    spans = lambda t: [t[a:b] for k, a, b, _ in pii.spans_of(t) if k == "iban"]
+    belgian, german = "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"
+    for after in ("", " EUR", " 50", " A", " EURO", " EUR 50", " PAID", "."):
+        assert spans(f"to {belgian}{after}") == [belgian], after
+        assert pii.redacted(f"to {belgian}{after}") == f"to [IBAN]{after}"
+    assert spans(f"{belgian} {german} {belgian} EUR") == [belgian, german, belgian]
+    assert spans(f"AB12 3456 7890 {german}") == [german]
+    assert spans("BE68539007547034EUR") == [] and spans("BE68 5390 0754 7035 EUR") == []
+
+
 ROWS = [(1, "Same"), (2, "same"), (3, "SAME"), (4, "É"), (5, "é"), (6, None), (7, ""), (3, "SAME"), (None, "same"), (None, "lone"), (9, "x" * 100_000)]
 
 
