@@ -91,9 +91,9 @@ def score(docs: DataFrame, least: int = LEAST, alpha: float = ALPHA) -> DataFram
         for row in left.to_pylist():
             key, pair, inner = grams(row["sizes"], row["words"], row["places"])
             one = np.maximum(looked_up(key, known, counts), 1).astype(float)  # a word that isn't in the answer occurs once
-            two = np.where(inner, looked_up(pair, known, counts), 0)
+            two = np.where(inner, np.maximum(looked_up(pair, known, counts), 1), 0)  # and so does such a pair
             before = np.concatenate([[1.0], one[:-1]]) if len(one) else one
-            log = np.log(np.where(two >= max(least, 2), two / before, np.where(inner, alpha, 1.0) * one / total))
+            log = np.log(np.where(inner & (two >= least), two / before, np.where(inner, alpha, 1.0) * one / total))
             sums = np.concatenate([[0.0], np.cumsum(log)])
             ends = np.cumsum(row["sizes"])
             parts.append(pa.Table.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["sizes"], pa.int64()), pa.array(sums[ends] - sums[ends - row["sizes"]])], schema=OUT))

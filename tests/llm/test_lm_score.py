@@ -32,3 +32,11 @@ def test_like_brute_force(spark):
     assert [g[:2] for g in got] == [w[:2] for w in brute(rows)]
     assert all(abs(g[2] - w[2]) < 1e-4 for g, w in zip(got, brute(rows)))
     assert lm_score.score(docs.limit(0)).count() == 0
+
+
+def test_pairs_that_occur_once(spark):
+    rows = [(1, "the cat sat on the mat"), (2, "the dog sat"), (3, "lone"), (4, None), (5, "on the dog")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (1, 2, 3):
+        got = sorted((r.doc_id, r.n_words, round(r.log_score, 6)) for r in lm_score.score(docs, least=least).collect())
+        assert got == brute(rows, least=least), least
