@@ -19,6 +19,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -98,18 +99,23 @@ class ByteLevelEncoder:
             again = [w for w in words if w in old]
             self.words.update(zip(again, map(old.__getitem__, again)))
             words = words.difference(again)
+        alone = [w for w in words if w.isalpha()]
         cut, plain = [], []
-        for w in words:
+        for w in words.difference(alone):
             stem = w.rstrip(MARKS)
             if stem.isalpha():
                 cut.append((w, stem, w[len(stem) :]))
             else:
                 plain.append((w, w[1:] if w[0] == "\0" else w if w[0] == "\n" else " " + w))
-        stems, pieces = self.stems(list({s for _, s, _ in cut})), self.pieces
+        known = self.words
+        fresh = self.stems(alone)
+        known.update(fresh)
+        fresh.update(self.stems(list({s for _, s, _ in cut}.difference(fresh))))
+        pieces = self.pieces
         self.learn_pieces([p for _, p in plain])
         self.learn_pieces({m for _, _, m in cut if m})
-        self.words.update((w, pieces[p]) for w, p in plain)
-        self.words.update((w, stems[s] + pieces[m] if m else stems[s]) for w, s, m in cut)
+        known.update([(w, pieces[p]) for w, p in plain])
+        known.update([(w, fresh[s] + pieces[m]) for w, s, m in cut])
 
     def age(self) -> None:
         """A memo that is full becomes the older generation; what isn't asked for again goes with it."""
@@ -121,8 +127,8 @@ class ByteLevelEncoder:
     def many(self, texts: list[str]) -> list[bytes]:
         self.age()
         out: list[bytes] = [b""] * len(texts)
-        known, missing, odd = self.words.get, set(), set()
-        regular: list[tuple[int, list[str], list[bytes | None]]] = []
+        words, missing, odd = self.words, set(), set()
+        regular: list[tuple[int, list[str]]] = []
         other: list[tuple[int, list[str]]] = []
         for n, text in enumerate(texts):
             if not text:
@@ -131,23 +137,27 @@ class ByteLevelEncoder:
                 out[n] = self.whole(text)
             elif "\0" not in text and " ".join(text.split()) == text.replace("\n", " "):
                 parts = ("\0" + text).replace("\n", " \n").split(" ")
-                found = list(map(known, parts))
-                missing.update([p for p, f in zip(parts, found) if f is None])
-                regular.append((n, parts, found))
+                missing.update(set(parts).difference(words))
+                regular.append((n, parts))
             else:
                 parts = self.pattern.findall(text)
                 odd.update(parts)
                 other.append((n, parts))
         self.learn_words(missing)
         self.learn_pieces(odd)
-        words = self.words
-        for n, parts, found in regular:
-            out[n] = b"".join([f if f is not None else words[p] for p, f in zip(parts, found)])
+        for n, parts in regular:
+            out[n] = b"".join(map(words.__getitem__, parts))
         for n, parts in other:
             out[n] = b"".join(map(self.pieces.__getitem__, parts))
         return out
 
 
+@lru_cache(1)
+def encoder(path: str) -> ByteLevelEncoder:
+    """A worker's encoder: kept from task to task, with the words that it has seen."""
+    return ByteLevelEncoder(path)
+
+
 def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, int]:
     """The window (0 to k-1) of each item, and the largest sum, by multiway differencing.
 
@@ -214,7 +224,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, poo
     path = path or vocabulary()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteLevelEncoder(path)
+        many = encoder(path).many
         sequence = TaskContext.get().partitionId() << 32
         tail = np.asarray([end_id], dtype="<u4").tobytes()
         item, size = max(1, capacity // 4), 4
@@ -241,7 +251,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, poo
                 items = []
 
         for batch, texts in text_slices(batches, chars=1 << 21):
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.many(texts)):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), many(texts)):
                 ids += tail
                 n = len(ids) // size
                 for at in range(0, n - n % capacity, capacity):
