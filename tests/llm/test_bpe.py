@@ -21,6 +21,10 @@ def expected(text):
     return len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
+def digests(text):
+    return tuple(column[0] for column in CODEC.digests([text]))
+
+
 CASES = [
     "", " ", "a", "Don't it's I'LL we've", "ab\u0085cd\x1cef\x1f  Σας ΟΔΟΣ İst x​y ²Ⅷ é é ́x",
     "<|endoftext|>a<|startoftext|> <|endoftext|", "a﻿b 힣각 漢字かな مرحبا", " 　tabs\tand\nnew\r\nlines\x0bv\x0cf",
@@ -31,7 +35,7 @@ CASES = [
 @pytest.mark.parametrize("text", CASES)
 def test_like_the_library(text):
     assert CODEC.encode(text) == LIB.encode(text, add_special_tokens=False).ids
-    assert CODEC.digests(text) == expected(text)
+    assert digests(text) == expected(text)
 
 
 def test_random_unicode():
@@ -39,7 +43,7 @@ def test_random_unicode():
     pools = ["abcdefghij", "aeiou'stll ", "éèêüßäöñ ", "ΣσςΑαΒ", "̣̀́ae ", " \t\n\x85 a1!", "漢字仮名ー한국어", "０１２３½²"]
     for _ in range(400):
         text = "".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(0, 60)))
-        assert CODEC.digests(text) == expected(text), repr(text)
+        assert digests(text) == expected(text), repr(text)
 
 
 def test_lookahead_suffices_for_long_words():
@@ -48,17 +52,43 @@ def test_lookahead_suffices_for_long_words():
     for alphabet in (["a"], ["a", "b"], syllables, list("etaoinshrdlu"), ["ab", "ba", "aa"]):
         word = "".join(rng.choice(alphabet) for _ in range(6000))
         machine = bpe.Transducer(CODEC.merges, CODEC.lengths, room=8)
-        letters, inner = bpe.byte_letters(), CODEC.merges.inner
-        out = list(machine.feed(inner[letters[b]] for b in word[:-1].encode()))
+        out = list(machine.feed(word.encode()))
         assert len(machine.buffer) < machine.most
-        out += machine.close(CODEC.merges.last[word[-1]])
+        out += machine.close()
         assert out == LIB.encode(word, add_special_tokens=False).ids
-        assert CODEC.digests(word * 20) == expected(word * 20)
+        assert digests(word * 20) == expected(word * 20)
 
 
 def test_blocks_do_not_change_results():
     text = ("The end is, near—and über-long words; " * 5000) + "x" * 100_000 + "é" * 5000
-    assert CODEC.digests(text) == expected(text)
+    assert digests(text) == expected(text)
+
+
+def test_pieces_stay_open_across_small_blocks(monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK", 6)
+    rng = random.Random(11)
+    pools = ["abcdefgh", "'stll ", "éß", "ΣσΑ", "\u0323\u0300ae", "\x85 a1", "漢字한", "12½", "!?.-", "<|endoftext|>"]
+    for _ in range(1500):
+        pool = rng.sample(pools, 3)
+        text = "".join(rng.choice(rng.choice(pool)) if rng.random() < 0.95 else rng.choice(pools) for _ in range(rng.randint(0, 90)))
+        assert digests(text) == expected(text), repr(text)
+        assert CODEC.decode(CODEC.encode(text)) == LIB.decode(LIB.encode(text, add_special_tokens=False).ids, skip_special_tokens=False)
+
+
+def test_bank_and_single_transducers_agree():
+    rng = random.Random(13)
+    words = ["".join(rng.choice("etaoinshrdlucmé") for _ in range(rng.randint(1, 63))).encode()[:63] for _ in range(500)] + [b"a", b"'", "é".encode()]
+    for word, ids in zip(words, CODEC.bank.encode(words, rows=64)):
+        machine = bpe.Transducer(CODEC.merges, CODEC.lengths, room=8)
+        assert [*machine.feed(word), *machine.close()] == list(struct.unpack(f"<{len(ids) // 4}I", ids))
+
+
+def test_memo_ages_without_changing_results(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 50)
+    rng = random.Random(17)
+    for _ in range(40):
+        texts = [" ".join(rng.choice(["the", "of", "tion"]) + rng.choice("abcdefgh") + rng.choice("123!") for _ in range(30)) for _ in range(3)]
+        assert list(zip(*CODEC.digests(texts))) == list(map(expected, texts))
 
 
 def test_byte_decoder_round_trip():
