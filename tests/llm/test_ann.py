@@ -55,3 +55,30 @@ def test_ties_copies_and_odd_vectors(spark):
 
 def test_empty_table(spark):
     assert ann.nearest(table(spark, [])).count() == 0
+
+
+def test_ties_go_to_smaller_ids_before_anything_is_cut(spark):
+    rows = [(i, [1.0, i / 7], 0) for i in range(200)]
+    got = {r["rank"]: r.vec_id for r in ann.nearest(table(spark, rows)).where("query_id = 0").collect()}
+    assert got == {n: n for n in range(1, 21)}
+
+
+def test_recall_of_a_full_shard():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(ann.SHARD // 64, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    order, levels = ann.build(x, ann.LINKS, 1)
+    assert sorted(order.tolist()) == list(range(len(x))) and len(levels[0]) == len(x)
+    y, q = x[order], x[:200]
+    found = ann.search(q.astype(np.float32), y.astype(np.float32), levels, ann.BEAM)
+    near = np.argsort(-(q @ y.T), axis=1)[:, : ann.K // ann.LEAST_SHARDS]
+    assert np.mean([len(set(a) & set(b)) / len(a) for a, b in zip(near.tolist(), found.tolist())]) > 0.9
+
+
+def test_small_graphs_find_all(spark):
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 3, 70, 130):
+        x = rng.normal(size=(n, 5))
+        order, levels = ann.build(x, ann.LINKS, 2)
+        found = ann.search(x.astype(np.float32), x[order].astype(np.float32), levels, ann.BEAM)
+        assert all(sorted(row[row >= 0].tolist()) == list(range(n)) for row in found), n
