@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -15,11 +16,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir` of the session.
 
-    Only where the session has none (a local test) a temporary folder is made and kept in the
-    session's own configuration.
+    A session on one machine that names none gets a temporary folder, kept in its configuration; on a
+    cluster that would be no shared folder, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.parley.scratch", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="parley-")
         spark.conf.set("spark.parley.scratch", found)
     return found.rstrip("/")
