@@ -2,7 +2,8 @@
 
 The index is a Parquet table bucketed and sorted by the SHA-256 of the normalised text. New data is
 grouped by digest, what the index already holds is removed by a sort-merge anti-join, and the rest
-is appended.
+is appended under the name of its batch. Only entries of the own batch keep a row, so a row that is
+fed again is dropped like any other copy of what the index holds.
 
 Defined results: null text counts as empty; texts are equal when they are identical after
 lower-casing A-Z; of equal texts within a batch the largest doc_id stays (null is the smallest; of
@@ -35,7 +36,7 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Table (digest, keep_id, group_size), bucketed and sorted by digest, at `path`."""
+    """Table (digest, keep_id, group_size, batch), bucketed and sorted by digest, at `path`; batch names the append that made the entry."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, name: str | None = None):
         self.spark = spark
@@ -43,20 +44,21 @@ class DigestIndex:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = name or f"digests_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
+            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append(self, groups: DataFrame) -> None:
-        """Add the groups (digest, keep_id, group_size) whose digest the index doesn't have yet."""
+    def append(self, groups: DataFrame) -> str:
+        """Add the groups (digest, keep_id, group_size) whose digest the index doesn't have yet; the name of their batch."""
+        batch = uuid.uuid4().hex
         have = self.rows().select(F.col("digest").alias("have")).hint("merge")
         # the condition on the size keeps the join above the aggregation: hot digests are combined before the exchange
         new = groups.join(have, (F.col("digest") == F.col("have")) & (F.col("group_size") > 0), "left_anti")
         (
-            new.select("digest", "keep_id", "group_size")
+            new.select("digest", "keep_id", "group_size", F.lit(batch).alias("batch"))
             .repartition(self.buckets, "digest")
             .write.format("parquet")
             .mode("append")
@@ -66,46 +68,51 @@ class DigestIndex:
             .saveAsTable(self.name)
         )
         self.spark.catalog.refreshTable(self.name)
+        return batch
 
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(digest, doc_id, n): how often each document occurs with each digest; stored, as the text is read once."""
-    rows = docs.select(text_digest(F.col(text_col)).alias("digest"), F.col(id_col).cast("long").alias("doc_id"))
-    return stored(rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n")), "digest-rows")
+    """(digest, doc_id, part, n): how often a document occurs with a digest in a partition; stored, as the text is read once.
+
+    The partition keeps n to the rows of one task, however often a row is repeated.
+    """
+    rows = docs.select(text_digest(F.col(text_col)).alias("digest"), F.col(id_col).cast("long").alias("doc_id"), F.spark_partition_id().alias("part"))
+    return stored(rows.groupBy("digest", "doc_id", "part").agg(F.count(F.lit(1)).alias("n")), "digest-rows")
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    """(digest, keep_id, group_size) of each distinct text."""
-    return rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    """(digest, keep_id, keep_part, group_size) of each distinct text; null is the smallest id."""
+    groups = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "part")).alias("keep"), F.sum("n").alias("group_size"))
+    return groups.select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.part").alias("keep_part"), "group_size")
 
 
 def assign(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """One row for each row of `docs`: doc_id, keep_id, group_size, kept, text_sha256.
 
     Appends new digests to `index` (a fresh one by default). A text that the index held before
-    keeps the entry it has, so all its new copies are dropped.
+    keeps the entry it has, so all its rows are dropped.
     """
     rows = counted(docs)
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     index = index or DigestIndex(docs.sparkSession)
-    index.append(grouped(rows))
-    placed = join_on_key(rows, index.rows(), "digest", "group_size", total)
-    return placed.select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    ).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+    groups = stored(grouped(rows), "digest-groups")
+    batch = index.append(groups)
+    # what is hot is told by this batch's own counts: they add up to `total`, those of the index may not
+    mine = groups.select("digest", "keep_part", F.col("group_size").alias("weight"))
+    entries = index.rows().join(mine.hint("merge"), "digest").withColumn("fresh", F.col("batch") == batch)
+    placed = join_on_key(rows, stored(entries, "digest-entries"), "digest", "weight", total)
+    copies = placed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    kept = F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("part") == F.col("keep_part")) & (F.col("copy") == 1)
+    return copies.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep_unique(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
     index = index or DigestIndex(docs.sparkSession)
-    index.append(grouped(counted(docs, id_col, text_col)))
+    batch = index.append(grouped(counted(docs, id_col, text_col)))
     digest, key = free_name(docs, "digest"), free_name(docs, "keep_key")
     marked = docs.withColumns({digest: text_digest(F.col(text_col)), key: F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))})
-    stay = index.rows().select(F.col("digest").alias(digest), F.coalesce("keep_id", F.lit(-(1 << 63))).alias(key))
+    stay = index.rows().where(F.col("batch") == batch).select(F.col("digest").alias(digest), F.coalesce("keep_id", F.lit(-(1 << 63))).alias(key))
     # the join leaves each text's rows together and sorted, so dropping repeated rows adds no shuffle
     return marked.join(stay.hint("merge"), [digest, key], "left_semi").dropDuplicates([digest, key]).select(*docs.columns)
 

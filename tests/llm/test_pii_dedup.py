@@ -82,3 +82,23 @@ def test_index_drops_what_it_has(spark):
     assert index.rows().count() == 3
     again = exact_dedup.DigestIndex(spark, path=index.path, buckets=3)
     assert again.rows().count() == 3
+
+
+def test_rows_fed_again_are_dropped(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, "A"), (None, None)], "doc_id long, text string").repartition(3)
+    index = exact_dedup.DigestIndex(spark, buckets=3)
+    assert sorted((r.doc_id for r in exact_dedup.keep_unique(docs, index).collect()), key=str) == [2, 3, None]
+    assert exact_dedup.keep_unique(docs, index).count() == 0
+    assert [tuple(r)[:4] for r in exact_dedup.assign(docs, index).where("kept OR group_size < 1").collect()] == []
+    assert exact_dedup.assign(docs, index).where("doc_id = 2").select("keep_id", "group_size").distinct().collect() == [(2, 2)]
+    assert index.rows().count() == 3
+
+
+def test_hot_digests_are_told_by_the_batch(spark, monkeypatch):
+    index = exact_dedup.DigestIndex(spark, buckets=3)
+    exact_dedup.assign(spark.range(5000).selectExpr("id AS doc_id", "CAST(id % 2 AS STRING) AS text"), index)
+    seen = []
+    plain = exact_dedup.join_on_key
+    monkeypatch.setattr(exact_dedup, "join_on_key", lambda rows, table, key, weight, total: seen.append((table.agg({weight: "max"}).first()[0], total)) or plain(rows, table, key, weight, total))
+    assert exact_dedup.assign(spark.createDataFrame([(9, "0"), (10, "x")], "doc_id long, text string"), index).count() == 2
+    assert seen == [(1, 2)]
