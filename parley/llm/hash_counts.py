@@ -15,8 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Bits of a key that are kept.
-BITS = 48
 #: Keys of a batch at about which it is closed.
 BATCH_KEYS = 1 << 18
 #: Keys to a bucket that fit a worker with ease.
@@ -34,49 +32,62 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """48-bit keys in six bytes each: the low 32 bits of all, then the high 16 of all."""
-    return (keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (keys >> np.uint64(32)).astype("<u2").tobytes()
+def key_width(total: int) -> int:
+    """Bytes of a key, 6 to 8: as many as leave about one of `total` keys in 2^18 a namesake."""
+    return min(8, max(6, -(-(max(total, 1).bit_length() + 18) // 8)))
 
 
-def unpack_keys(data: bytes) -> np.ndarray:
-    n = len(data) // 6
-    return np.frombuffer(data, "<u4", n).astype(np.uint64) | (np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32))
+def narrowed(keys: np.ndarray, width: int) -> np.ndarray:
+    """The high bytes of 64-bit keys."""
+    return keys >> np.uint64(64 - 8 * width)
+
+
+def pack_keys(keys: np.ndarray, width: int = 8) -> bytes:
+    """The low `width` bytes of each key."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_keys(data: bytes, width: int = 8) -> np.ndarray:
+    if width == 8:
+        return np.frombuffer(data, "<u8").astype(np.uint64)
+    wide = np.zeros((len(data) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return wide.view("<u8").ravel().astype(np.uint64)
 
 
 def buckets_for(total_keys: int, least: int) -> int:
     """So many buckets that each holds about BUCKET_KEYS keys, and at least as many as tasks should run."""
-    return max(1, min(1 << 16, max(least, -(-total_keys // BUCKET_KEYS))))
+    return max(1, min(1 << 31, max(least, -(-total_keys // BUCKET_KEYS))))
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets are ranges of the high 16 bits."""
-    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(16)
+def bucket_of(keys: np.ndarray, buckets: int, width: int) -> np.ndarray:
+    """Buckets are ranges of the high 32 bits."""
+    return ((keys >> np.uint64(8 * width - 32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def slots(keys: np.ndarray, buckets: int, whole: bool) -> np.ndarray:
+def slots(keys: np.ndarray, buckets: int, width: int, whole: bool) -> np.ndarray:
     """What is counted: the whole key, or its bucket and low 32 bits (a few keys then share a count)."""
-    return keys if whole else (bucket_of(keys, buckets) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
+    return keys if whole else (bucket_of(keys, buckets, width) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
 
 
-def counted_keys(batches: DataFrame, buckets: int, least: int = 1, whole: bool = True, columns: tuple[str, ...] = ("keys",), keys_of: Callable[..., np.ndarray] | None = None) -> DataFrame:
+def counted_keys(batches: DataFrame, buckets: int, width: int, least: int = 1, whole: bool = True, columns: tuple[str, ...] = ("keys",), keys_of: Callable[..., np.ndarray] | None = None) -> DataFrame:
     """(batch, bucket, keys, counts): for each batch its keys with a corpus-wide count of at least `least`.
 
-    `batches` has batch (string) and `columns`, from whose values `keys_of` makes a batch's keys in
-    any order, as often as they count (by default: one column of packed keys). With
+    `batches` has batch (string) and `columns`, from whose values `keys_of` makes a batch's keys of
+    `width` bytes in any order, as often as they count (by default: one column of packed keys). With
     `whole` false a bucket is sent the low 32 bits of its keys only, which saves a third of the
     exchange; keys that agree in them and in the bucket get the sum of their counts.
     """
-    keys_of = keys_of or unpack_keys
-    pack = pack_keys if whole else (lambda k: k.astype("<u4").tobytes())
+    keys_of = keys_of or (lambda d: unpack_keys(d, width))
+    pack = (lambda k: pack_keys(k, width)) if whole else (lambda k: k.astype("<u4").tobytes())
 
     def deal(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
             for name, *data in zip(*(part.column(c) for c in ("batch", *columns))):
-                keys, counts = np.unique(slots(keys_of(*(d.as_py() for d in data)), buckets, whole), return_counts=True)
+                keys, counts = np.unique(slots(keys_of(*(d.as_py() for d in data)), buckets, width, whole), return_counts=True)
                 if not len(keys):
                     continue
-                bucket = bucket_of(keys, buckets) if whole else keys >> np.uint64(32)
+                bucket = bucket_of(keys, buckets, width) if whole else keys >> np.uint64(32)
                 used, begins = np.unique(bucket, return_index=True)
                 ends = [*begins[1:], len(keys)]
                 yield pa.RecordBatch.from_arrays(
@@ -91,7 +102,7 @@ def counted_keys(batches: DataFrame, buckets: int, least: int = 1, whole: bool =
 
     def add_up(table: pa.Table) -> pa.Table:
         names, buckets_ = table.column("batch").to_pylist(), table.column("bucket").to_pylist()
-        load = unpack_keys if whole else (lambda d: np.frombuffer(d, "<u4"))
+        load = (lambda d: unpack_keys(d, width)) if whole else (lambda d: np.frombuffer(d, "<u4"))
         parts = [load(d.as_py()) for d in table.column("keys")]
         counts = [np.frombuffer(d.as_py(), "<u4") for d in table.column("counts")]
         keys, n = np.concatenate(parts), np.concatenate(counts).astype(np.int64)
@@ -116,12 +127,12 @@ def counted_keys(batches: DataFrame, buckets: int, least: int = 1, whole: bool =
 SHAPE = pa.schema([("batch", pa.string()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def answers(table: pa.Table, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def answers(table: pa.Table, width: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The slots of one batch, sorted, and their counts, from its rows of `counted_keys`."""
     if not table.num_rows:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if whole:
-        keys = [unpack_keys(d.as_py()) for d in table.column("keys")]
+        keys = [unpack_keys(d.as_py(), width) for d in table.column("keys")]
     else:
         keys = [np.frombuffer(d.as_py(), "<u4").astype(np.uint64) | (np.uint64(b) << np.uint64(32)) for d, b in zip(table.column("keys"), table.column("bucket").to_pylist())]
     keys = np.concatenate(keys)

@@ -11,7 +11,8 @@
    near copies costs a pair for each member, not for each two of them, and no link between different
    texts is lost.
 
-Hashes have 48 bits; two documents would have to share several wrong ones for a wrong link.
+Shingles are 64-bit hashes; sets are kept and counted by their high 48 bits or more, as many as the
+corpus asks for (`key_width`), so two documents would have to share several wrong ones for a wrong link.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; texts of fewer
 words than a shingle count as one; repeated rows are copies of each other; a null id is never the
@@ -32,14 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.common import free_name, join_on_key, stored, text_slices
-from parley.llm.hash_counts import BATCH_KEYS, Bucketed, answers, buckets_for, counted_keys, looked_up, mixed, pack_keys, slots, unpack_keys
+from parley.llm.hash_counts import BATCH_KEYS, Bucketed, answers, buckets_for, counted_keys, key_width, looked_up, mixed, narrowed, pack_keys, slots, unpack_keys
 
 WORDS, PERCENT = 5, 75
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_sets(texts: list[str], size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts): the distinct 48-bit shingle hashes of each text, text after text and sorted, and how many."""
+    """(keys, counts): the distinct 64-bit shingle hashes of each text, text after text and sorted, and how many."""
     word = xxhash.xxh3_64_intdigest
     lists = [t.encode().lower().split() for t in texts]
     lengths = np.array([len(x) for x in lists], np.int64)
@@ -53,19 +54,16 @@ def shingle_sets(texts: list[str], size: int = WORDS) -> tuple[np.ndarray, np.nd
     for i in range(size):
         there = i < width
         key = np.where(there, key * STEP + h[np.minimum(first + i, len(h) - 1)] if len(h) else key, key)
-    key = mixed(key) >> np.uint64(16)
-    if len(texts) < 1 << 16:  # one sort of (document, key) in a single number
-        both = np.unique(doc.astype(np.uint64) << np.uint64(48) | key)
-        doc, key = (both >> np.uint64(48)).astype(np.int64), both & np.uint64((1 << 48) - 1)
-    else:
-        order = np.lexsort((key, doc))
-        doc, key = doc[order], key[order]
-        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]) if len(doc) else np.zeros(0, bool)
-        doc, key = doc[new], key[new]
+    key = mixed(key)
+    order = np.argsort(key)
+    order = order[np.argsort(doc[order].astype(np.uint16) if len(texts) <= 1 << 16 else doc[order], kind="stable")]
+    doc, key = doc[order], key[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]) if len(doc) else np.zeros(0, bool)
+    doc, key = doc[new], key[new]
     return key, np.bincount(doc, minlength=len(texts))
 
 
-def shingled(docs: DataFrame, size: int = WORDS, row_key: str = "NULL") -> DataFrame:
+def shingled(docs: DataFrame, width: int, size: int = WORDS, row_key: str = "NULL") -> DataFrame:
     """Batches of documents: batch, doc_ids, row_keys (a binary SQL expression on each row), sizes, digests, keys."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +79,7 @@ def shingled(docs: DataFrame, size: int = WORDS, row_key: str = "NULL") -> DataF
             digests = [hashlib.blake2b(data[8 * (e - s) : 8 * e], digest_size=16).digest() if s else None for s, e in zip(sizes.tolist(), ends.tolist())]
             n, held = n + 1, []
             return pa.RecordBatch.from_arrays(
-                [pa.array([f"{part}-{n}"]), pa.array([ids], pa.list_(pa.int64())), pa.array([row_keys], pa.list_(pa.binary())), pa.array([sizes.astype(np.int32)], pa.list_(pa.int32())), pa.array([digests], pa.list_(pa.binary())), pa.array([pack_keys(keys)], pa.binary())],
+                [pa.array([f"{part}-{n}"]), pa.array([ids], pa.list_(pa.int64())), pa.array([row_keys], pa.list_(pa.binary())), pa.array([sizes.astype(np.int32)], pa.list_(pa.int32())), pa.array([digests], pa.list_(pa.binary())), pa.array([pack_keys(narrowed(keys, width), width)], pa.binary())],
                 ["batch", "doc_ids", "row_keys", "sizes", "digests", "keys"],
             )
 
@@ -100,15 +98,15 @@ def shingled(docs: DataFrame, size: int = WORDS, row_key: str = "NULL") -> DataF
 SETS = pa.schema([("node", pa.binary()), ("n", pa.int64()), ("keys", pa.binary())])
 
 
-def ordered_sets(batches: DataFrame, counted: DataFrame, buckets: int, percent: int) -> DataFrame:
+def ordered_sets(batches: DataFrame, counted: DataFrame, buckets: int, width: int, percent: int) -> DataFrame:
     """(node, n, keys): of each class that can have a link, its shared shingles from rare to common."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[bytes, tuple[int, bytes]] = {}
-        known, counts = answers(right, whole=False)
+        known, counts = answers(right, width, whole=False)
         for row in left.to_pylist():
-            keys, sizes = unpack_keys(row["keys"]), row["sizes"]
-            df = looked_up(slots(keys, buckets, False), known, counts)
+            keys, sizes = unpack_keys(row["keys"], width), row["sizes"]
+            df = looked_up(slots(keys, buckets, width, False), known, counts)
             at = 0
             for n, node in zip(sizes, row["digests"]):
                 k, d = keys[at : at + n], df[at : at + n]
@@ -116,7 +114,7 @@ def ordered_sets(batches: DataFrame, counted: DataFrame, buckets: int, percent:
                 shared = d > 1
                 if n and node not in out and 100 * int(shared.sum()) >= percent * n:
                     k, d = k[shared], d[shared]
-                    out[node] = (n, pack_keys(k[np.lexsort((k, d))]))
+                    out[node] = (n, pack_keys(k[np.lexsort((k, d))], width))
         return pa.Table.from_arrays([pa.array(list(out), pa.binary()), pa.array([v[0] for v in out.values()], pa.int64()), pa.array([v[1] for v in out.values()], pa.binary())], schema=SETS)
 
     found = batches.select("batch", "sizes", "digests", "keys").groupBy("batch").cogroup(counted.groupBy("batch")).applyInArrow(run, "node binary, n long, keys binary")
@@ -124,14 +122,14 @@ def ordered_sets(batches: DataFrame, counted: DataFrame, buckets: int, percent:
     return found.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+def prefixes(sets: DataFrame, percent: int, width: int) -> DataFrame:
     """(key, gid, node, n, single, pos): a row for each shared shingle in a prefix; pos counts the unshared ones before it."""
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
             cols: list[list] = [[], [], [], [], [], []]
             for node, n, data in zip(*(part.column(c).to_pylist() for c in ("node", "n", "keys"))):
-                keys = unpack_keys(data)
+                keys = unpack_keys(data, width)
                 single = n - len(keys)
                 length = n - -(-percent * n // 100) + 1 - single
                 keys = keys[: max(length, 0)]
@@ -155,7 +153,7 @@ def may_link(a: str, b: str, percent: int):
     return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & ((100 + percent) * most >= percent * (n_a + n_b))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs (a, b) of nodes that link; a node may be the b of any number of pairs.
 
     The few sets that stand for b are written apart, so that both sides of that join are exchanged
@@ -169,7 +167,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for part in rows:
             keep = []
             for n_a, n_b, x, y in zip(part.column("n_a").to_pylist(), part.column("n_b").to_pylist(), part.column("keys_a"), part.column("keys_b")):
-                both = len(np.intersect1d(unpack_keys(x.as_py()), unpack_keys(y.as_py()), assume_unique=True))
+                both = len(np.intersect1d(unpack_keys(x.as_py(), width), unpack_keys(y.as_py(), width), assume_unique=True))
                 keep.append(100 * both >= percent * (n_a + n_b - both))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -195,9 +193,9 @@ def components(links: DataFrame) -> DataFrame:
         edges = stored(others.union(near).distinct(), "edges")
 
 
-def links_of(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def links_of(sets: DataFrame, width: int, percent: int = PERCENT) -> DataFrame:
     """(a, b): links whose components are those of all links between the sets."""
-    rows = stored(prefixes(sets, percent), "prefixes")
+    rows = stored(prefixes(sets, percent, width), "prefixes")
     index = rows.groupBy("key", "gid").agg(F.first("n").alias("n"), F.first("single").alias("single"), F.first("pos").alias("pos"))
     members = stored(rows.select("gid", "node").distinct(), "members")
     heads = members.groupBy("gid").agg(F.min("node").alias("head"), F.count("node").alias("size"))
@@ -209,7 +207,7 @@ def links_of(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     central = near.groupBy(F.col("x.gid").alias("gid")).agg(F.min(F.struct("c_single", "c_gid")).alias("c")).select("gid", F.col("c.c_gid").alias("c_gid"))
     own = members.join(heads.where("size > 1"), "gid").where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     far = central.join(heads.select("gid", F.col("head").alias("a")), "gid").join(heads.select(F.col("gid").alias("c_gid"), F.col("head").alias("b")), "c_gid").select("a", "b")
-    first = stored(verified(own.union(far).distinct(), sets, percent), "links")
+    first = stored(verified(own.union(far).distinct(), sets, percent, width), "links")
 
     # what is left between different components
     labels = components(first)
@@ -225,23 +223,27 @@ def links_of(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     groups = groups.union(spread.where("low != high").select("gid", "gid")).distinct()
     left, right = (named.select(F.col("gid").alias(g), F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for g, c in (("g", "b"), ("h", "a")))
     rest = groups.join(left, "g").join(right, "h").where("label_a != label_b").select("a", "b").distinct()
-    return first.union(stored(verified(rest, sets, percent), "links"))
+    return first.union(stored(verified(rest, sets, percent, width), "links"))
 
 
 def labelled(docs: DataFrame, size: int, percent: int, row_key: str = "NULL") -> tuple[DataFrame, DataFrame, int]:
     """(doc_id, row_key, n_shingles, node) of each row of `docs`, (node, label) of the nodes that have links, and the number of rows."""
     spark = docs.sparkSession
-    table = Bucketed(shingled(docs, size, row_key), "shingles", "batch")
+    # a text has at most so many words
+    width = key_width(docs.agg(F.coalesce(F.sum((F.length("text") + 1).cast("long") / 2), F.lit(0)).cast("long")).first()[0])
+    table = Bucketed(shingled(docs, width, size, row_key), "shingles", "batch")
     batches = table.rows
     each = F.explode(F.arrays_zip("doc_ids", "row_keys", "sizes", "digests")).alias("d")
     rows = stored(batches.select(each).select(F.col("d.doc_ids").alias("doc_id"), F.col("d.row_keys").alias("row_key"), F.col("d.sizes").cast("long").alias("n_shingles"), F.col("d.digests").alias("node")), "documents")
     total_keys, total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = buckets_for(total_keys, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counted = counted_keys(batches, buckets, least=2, whole=False)
+    counted = counted_keys(batches, buckets, width, least=2, whole=False)
     # the sets stand bucketed by node, so the joins that verify pairs exchange the pairs only
-    sets = Bucketed(ordered_sets(batches, counted, buckets, percent), "sets", "node").rows
+    sets = Bucketed(ordered_sets(batches, counted, buckets, width, percent), "sets", "node")
     table.drop()
-    return rows, components(links_of(sets, percent)), total
+    labels = components(links_of(sets.rows, width, percent))
+    sets.drop()
+    return rows, labels, total
 
 
 def link(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 from parley.llm import lm_score
 
 
-def brute(rows, least=2, alpha=0.4):
+def brute(rows, least=lm_score.LEAST, alpha=0.4):
     words = [(i, (t or "").encode().lower().split()) for i, t in rows]
     one, two = collections.Counter(), collections.Counter()
     for _, w in words:
@@ -32,6 +32,10 @@ def test_like_brute_force(spark):
     assert [g[:2] for g in got] == [w[:2] for w in brute(rows)]
     assert all(abs(g[2] - w[2]) < 1e-4 for g, w in zip(got, brute(rows)))
     assert lm_score.score(docs.limit(0)).count() == 0
+    for least in (1, 2):
+        want, plain = brute(rows, least), lm_score.score_rows(docs, least).collect()
+        assert [(r.doc_id, r.n_words) for r in sorted(plain, key=lambda r: str((r.doc_id, r.n_words, round(r.log_score, 6))))] == [w[:2] for w in want]
+        assert sorted(round(r.log_score, 3) for r in plain) == sorted(round(w[2], 3) for w in want)
 
 
 def test_pairs_that_occur_once(spark):
@@ -40,3 +44,13 @@ def test_pairs_that_occur_once(spark):
     for least in (1, 2, 3):
         got = sorted((r.doc_id, r.n_words, round(r.log_score, 6)) for r in lm_score.score(docs, least=least).collect())
         assert got == brute(rows, least=least), least
+
+
+def test_very_long_and_repeated_texts(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(rng.choices(words, k=120_000))), (2, "w1 w2 w3"), (2, "w1 w2 w3"), (3, "x" * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.log_score) for r in lm_score.score(docs).collect())
+    want = brute(rows)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[2] - w[2]) < 1e-6 * max(1, abs(w[2])) for g, w in zip(got, want))
