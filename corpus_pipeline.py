@@ -1,6 +1,6 @@
 """Corpus preparation: five stages over documents, each written and read again before the next.
 
-language     drops texts without a letter (their language is `und`)
+language     drops documents that are in no language: no letter, or no language covers a third of the letters
 exact_dedup  keeps of equal texts the row with the largest doc_id
 near_dedup   keeps of each component of near copies the row with the smallest doc_id
 personal     replaces personal data in the texts; every document stays

@@ -5,8 +5,8 @@ the languages to those that were seen in that script. A Viterbi pass with a pena
 language labels every word, which marks the spans of mixed texts; the language with most letters is
 the document's.
 
-Learning takes a sample of at most about `per_lang` labelled rows of each language, picked by a
-hash of the id; prediction reads every text whole.
+Learning takes a sample of at most about `per_lang` labelled rows of each of the `langs` most frequent
+languages, picked by a hash of the id; prediction reads every text whole.
 
 Defined results: null text and text without a letter are `und` with score 0; rows without a
 language teach nothing; with nothing to learn from every text is `und`; repeated rows give repeated
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from parley.llm.common import text_slices
 
-PER_LANG, BUCKETS, SWITCH, UNKNOWN = 4000, 1 << 16, 12.0, "und"
+PER_LANG, LANGS, BUCKETS, SWITCH, UNKNOWN = 4000, 256, 1 << 16, 12.0, "und"
+#: A document whose main language covers less than this share of its letters is in no language.
+LEAST_SHARE = 1 / 3
 #: Starts of script ranges in Unicode blocks (fixed values); letters between belong to the range before.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
@@ -140,14 +142,15 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, n_docs: int, switch: float = SW
     return label
 
 
-def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
+def learn(docs: DataFrame, per_lang: int = PER_LANG, langs: int = LANGS) -> Model | None:
     """Trigram and script tables from `docs` (doc_id, text, lang), all of which may teach."""
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    most = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs)
+    sizes = {r["lang"]: r["count"] for r in most.collect()}
     if not sizes:
         return None
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, per_lang / n) * 1_000_000))])
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -166,15 +169,15 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used)), pa.array(used), pa.array(both[used])], ["lang", "slot", "n"])
 
     counts = sample.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counts["lang"].unique())
-    if not langs:
+    names = sorted(counts["lang"].unique())
+    if not names:
         return None
-    full = np.zeros((BUCKETS + len(NAMES), len(langs)))
-    full[counts["slot"].to_numpy(), [langs.index(x) for x in counts["lang"]]] = counts["n"]
+    full = np.zeros((BUCKETS + len(NAMES), len(names)))
+    full[counts["slot"].to_numpy(), [names.index(x) for x in counts["lang"]]] = counts["n"]
     grams, scripts = full[:BUCKETS], full[BUCKETS:]
     used = max(1, int((grams.sum(axis=1) > 0).sum()))
     table = np.log((grams + 0.5) / (grams.sum(axis=0) + 0.5 * used)).astype(np.float32)
-    return Model(langs, table, scripts >= np.maximum(1, 1e-3 * scripts.sum(axis=0)))
+    return Model(names, table, scripts >= np.maximum(1, 1e-3 * scripts.sum(axis=0)))
 
 
 def predict(docs: DataFrame, model: Model | None, spans: bool = False) -> DataFrame:
@@ -216,7 +219,7 @@ def identify(docs: DataFrame, spans: bool = False) -> DataFrame:
     return found.select("doc_id", (F.pmod(id_text_crc("doc_id"), F.lit(4)) == 2).alias("held_out"), "lang_pred", "score", *["spans"] * spans)
 
 
-def drop_unknown(docs: DataFrame, model: Model | None, least: float = 0.0) -> DataFrame:
+def drop_unknown(docs: DataFrame, model: Model | None, least: float = LEAST_SHARE) -> DataFrame:
     """`docs` without texts that have no letter or whose main language covers less than `least`; one pass, no join."""
     names = docs.columns
 

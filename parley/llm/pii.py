@@ -2,8 +2,8 @@
 
 Base kinds (email, ip, card, phone) are always reported when their rule holds. The method adds
 `iban` (ISO 13616, mod-97), national numbers `ssn` (area, group and serial rules) and
-scores every span: a base score for its kind, raised by a checksum, raised again by a context word
-nearby. Added kinds are reported only from `least` on.
+scores every span: a base score for its kind, which a checksum has raised, raised again or lowered by
+whole context words on either side. Added kinds are reported only from `least` on.
 
 Defined results: null text counts as empty; an empty or clean text gives zero counts and the digest
 of ''; texts are scanned whole, in time linear in their length; repeated rows give repeated rows;
@@ -36,18 +36,40 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 
 #: Score of a span by kind before its context is looked at.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
-#: Words that raise the score when they stand within WINDOW characters before the span.
-CONTEXT = {
-    "email": ("mail", "contact", "write"),
+#: Words that raise the score when they stand within WINDOW characters of the span, and words that lower it.
+FOR = {
+    "email": ("mail", "email", "e-mail", "contact", "write"),
     "ip": ("ip", "address", "host", "server"),
     "card": ("card", "credit", "visa", "payment", "pay"),
-    "phone": ("phone", "call", "tel", "mobile", "fax"),
+    "phone": ("phone", "call", "tel", "telephone", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "transfer"),
     "ssn": ("ssn", "social", "security", "tax"),
 }
+AGAINST = {
+    "email": ("example", "sample"),
+    "ip": ("version", "release", "section"),
+    "card": ("order", "tracking", "isbn", "serial"),
+    "phone": ("order", "score", "isbn"),
+    "iban": ("example", "sample"),
+    "ssn": ("part", "order", "serial", "model", "invoice"),
+}
 WINDOW, BOOST = 48, 0.3
 
 
+def any_word(words: tuple[str, ...]) -> re.Pattern:
+    """One of the words, whole or with a plural s."""
+    return re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, words))})s?(?!\w)")
+
+
+CONTEXT = {k: (any_word(FOR[k]), any_word(AGAINST[k])) for k in KINDS}
+
+
+def adjusted(kind: str, score: float, near: str) -> float:
+    """A span's score in view of the (lower-case) text around it."""
+    up, down = CONTEXT[kind]
+    return min(1.0, max(0.0, score + BOOST * bool(up.search(near)) - BOOST * bool(down.search(near))))
+
+
 def luhn(digits: str) -> bool:
     odd = sum(map(int, digits[-1::-2]))
     return (odd + sum(sum(divmod(2 * int(c), 10)) for c in digits[-2::-2])) % 10 == 0
@@ -101,9 +123,8 @@ def spans_of(text: str, least: float = 0.5) -> list[tuple[str, int, int, float]]
     def add(kind: str, start: int, end: int, score: float) -> None:
         nonlocal low
         low = low or text.lower()
-        near = (low if len(low) == len(text) else text)[max(0, start - WINDOW) : start]
-        if any(w in near for w in CONTEXT[kind]):
-            score = min(1.0, score + BOOST)
+        around = low if len(low) == len(text) else text
+        score = adjusted(kind, score, f"{around[max(0, start - WINDOW) : start]} {around[end : end + WINDOW]}")
         if kind in BASE or score >= least:
             found.append((kind, start, end, round(score, 3)))
 

@@ -7,7 +7,8 @@ followed upwards, which keeps the classifier from explaining the positives away.
 whose document frequency differs most between positives and unlabelled, counted by Spark.
 
 Learning takes at most about `positives` toxic and `unlabelled` of all documents, picked by independent
-hashes (a document may be in both samples), and `words` words; every text is scored whole.
+hashes (a document may be in both samples; a repeated row counts once), and `words` words; every text
+is scored whole.
 
 Defined results: null text counts as empty; empty texts get the score of the bias alone; null labels
 teach nothing; without a positive every score is 0; repeated rows give repeated rows; a null id
@@ -98,7 +99,9 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", positives:
     chosen = known.where((F.col("y") == 1) & (rank < int(min(1.0, positives / n_pos) * 1_000_000))).select("doc_id", F.lit(True).alias("positive"))
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left")
     picked = picked.select("doc_id", "text", F.coalesce("positive", F.lit(False)).alias("positive"), (free < int(min(1.0, unlabelled / max(n_docs, 1)) * 1_000_000)).alias("unlabelled"))
-    sample = stored(with_words(picked.where("positive OR unlabelled")), "toxicity-sample")
+    # a document that is repeated counts once, so the samples are bounded whatever is repeated
+    once = picked.where("positive OR unlabelled").withColumn("same", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).dropDuplicates(["doc_id", "same"])
+    sample = stored(with_words(once), "toxicity-sample")
     count_p, count_u = sample.agg(F.count_if("positive"), F.count_if("unlabelled")).first()
     if not count_p:
         return None

@@ -47,6 +47,15 @@ def test_added_kinds_and_redaction(spark):
     assert sorted(map(tuple, pii.redact(docs).collect())) == [(1, "[EMAIL]", 7, "x"), (2, None, None, "y"), (3, "clean", 99, None)]
 
 
+def test_context_words_are_whole_and_on_either_side():
+    score = lambda t, kind: next((s for k, _, _, s in pii.spans_of(t) if k == kind), None)
+    assert score("the ship 10.0.0.1 sails", "ip") == 0.6 and score("the ip 10.0.0.1 answers", "ip") == 0.9
+    assert score("10.0.0.1 is the server", "ip") == 0.9 and score("10.0.0.1 " + "x " * 30 + "server", "ip") == 0.6
+    assert score("version 10.0.0.1", "ip") == 0.3 and score("hotel +1 (706) 555-3138", "phone") == 0.6
+    assert score("219-09-9999 is my social security number", "ssn") == 0.7
+    assert score("serial 219-09-9999 for tax", "ssn") is None and score("ssn 219-09-9999", "ssn") == 0.7
+
+
 def test_ibans_before_capital_or_numeric_words():
     spans = lambda t: [t[a:b] for k, a, b, _ in pii.spans_of(t) if k == "iban"]
     belgian, german = "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"
