@@ -43,16 +43,17 @@ def narrowed(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray, width: int = 8) -> bytes:
-    """The low `width` bytes of each key."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """The low `width` bytes of each key: the low four of all, then each higher byte of all, which compresses where keys are sorted."""
+    high = [(keys >> np.uint64(8 * i)).astype(np.uint8).tobytes() for i in range(4, width)]
+    return b"".join([(keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), *high])
 
 
 def unpack_keys(data: bytes, width: int = 8) -> np.ndarray:
-    if width == 8:
-        return np.frombuffer(data, "<u8").astype(np.uint64)
-    wide = np.zeros((len(data) // width, 8), np.uint8)
-    wide[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return wide.view("<u8").ravel().astype(np.uint64)
+    n = len(data) // width
+    keys = np.frombuffer(data, "<u4", n).astype(np.uint64)
+    for i in range(4, width):
+        keys |= np.frombuffer(data, np.uint8, n, i * n).astype(np.uint64) << np.uint64(8 * i)
+    return keys
 
 
 def buckets_for(total_keys: int, least: int) -> int:
