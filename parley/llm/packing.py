@@ -32,7 +32,7 @@ CAPACITY, POOL, END = 2048, 768, 1
 #: Marks that may follow a word's letters (ASCII punctuation, fixed values).
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 #: Entries of a generation of a worker's memo of words; there are two.
-MEMO = 300_000
+MEMO = 250_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -124,6 +124,12 @@ class ByteLevelEncoder:
         if len(self.pieces) > MEMO:
             self.pieces = {}
 
+    def rest(self) -> None:
+        """Between tasks only the words of the younger generation are kept."""
+        self.old_words = {}
+        if len(self.pieces) > MEMO // 4:
+            self.pieces = {}
+
     def many(self, texts: list[str]) -> list[bytes]:
         self.age()
         out: list[bytes] = [b""] * len(texts)
@@ -266,6 +272,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, poo
                 yield rows(full)
                 full = []
         yield from emptied()
+        encoder(path).rest()
 
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, PIECES)
 
