@@ -18,6 +18,9 @@ RECOVERABLE = ("DeviceDisconnected", "StreamFailed", "ProcessingFailed", "Transc
 #: Titles of meeting windows in the forms that browsers show (fixed pattern).
 MEETING_TITLE = "^Meet - .+|^Meet – .+|^Google Meet - Meet — .+|.+ - Google Meet$"
 
+#: Programs whose windows can hold a meeting (fixed values).
+BROWSERS = ("chrome.exe", "msedge.exe", "firefox.exe")
+
 
 def one_of(c: Column, parts: tuple[str, ...]) -> Column:
     found = F.lit(False)
@@ -45,5 +48,9 @@ def is_meeting_title(title: Column) -> Column:
     return title.rlike(MEETING_TITLE)
 
 
+def is_meeting_window(title: Column, process: Column) -> Column:
+    return is_meeting_title(title) & F.lower(process).isin(*BROWSERS)
+
+
 def is_recoverable(error: Column) -> Column:
     return error.isin(*RECOVERABLE)

@@ -123,14 +123,42 @@ def each(f):
     return run
 
 
+def recursive(x: np.ndarray, b: tuple[float, float, float], a: tuple[float, float], block: int = 256) -> np.ndarray:
+    """y[n] = b0 x[n] + b1 x[n-1] + b2 x[n-2] - a1 y[n-1] - a2 y[n-2], in blocks of at least two.
+
+    Within a block the answer to its samples is a product with the impulse response, and what came
+    before enters through two numbers, so no loop runs over samples.
+    """
+    if not len(x):
+        return np.zeros(0)
+    (b0, b1, b2), (a1, a2) = b, a
+    # answers of the recursion to an impulse and to each of the two numbers it carries
+    free = np.zeros((3, block + 2))
+    free[0, 2], free[1, 2], free[2, 3] = 1.0, 1.0, 1.0
+    for n in range(2, block + 2):
+        free[:, n] += -a1 * free[:, n - 1] - a2 * free[:, n - 2]
+    pure = free[0, 2:]
+    impulse = b0 * pure + b1 * np.concatenate([[0], pure[:-1]]) + b2 * np.concatenate([[0, 0], pure[:-2]])
+    at = np.arange(block)
+    answer = np.where(at[:, None] >= at, impulse[np.maximum(at[:, None] - at, 0)], 0.0)
+    first, second = free[1, 2:], free[2, 2:]
+    out, s1, s2 = np.empty(len(x)), 0.0, 0.0
+    for start in range(0, len(x), block):
+        part = x[start : start + block]
+        n = len(part)
+        y = answer[:n, :n] @ part + s1 * first[:n] + s2 * second[:n]
+        out[start : start + n] = y
+        if n > 1:  # a single sample can only be the last
+            s1 = b1 * part[-1] - a1 * y[-1] + b2 * part[-2] - a2 * y[-2]
+            s2 = b2 * part[-1] - a2 * y[-1]
+    return out
+
+
 def highpass(x: np.ndarray, rate: float = 16_000, cutoff: float = 80.0) -> np.ndarray:
     """First-order high-pass: y = a * (y' + x - x')."""
     rc, dt = 1 / (2 * np.pi * cutoff), 1 / rate
-    a, y, last, out = rc / (rc + dt), 0.0, 0.0, np.empty(len(x))
-    for i, v in enumerate(x):
-        y = a * (y + v - last)
-        last, out[i] = v, y
-    return out
+    a = rc / (rc + dt)
+    return recursive(x, (a, -a, 0.0), (-a, 0.0))
 
 
 def linear_resample(x: np.ndarray, rate: float = 48_000, to: float = 16_000, reach: int = 2) -> np.ndarray:
@@ -161,31 +189,97 @@ def sinc_resample(x: np.ndarray, rate: float = 48_000, to: float = 16_000, half:
     return (np.where(inside, x[np.clip(at, 0, len(x) - 1)], 0.0) * weight).sum(axis=1)
 
 
-def limiter(x: np.ndarray, limit: float = 0.891, ahead: int = 480) -> np.ndarray:
-    """Look-ahead limiter: each sample is scaled so that no sample within the next `ahead` exceeds the limit."""
-    if not len(x):
+def chunked_resample(x: np.ndarray, rate: int = 48_000, to: int = 16_000, chunk: float = 60.0, overlap: float = 0.1, one=sinc_resample) -> np.ndarray:
+    """Resampled in chunks that reach `overlap` seconds into the next one, with a linear fade from each to the next."""
+    if rate == to or not len(x):
         return x
-    level = np.concatenate([np.abs(x), np.zeros(ahead)])
-    top = np.lib.stride_tricks.sliding_window_view(level, ahead + 1).max(axis=1)
-    return x * np.minimum(1.0, limit / np.maximum(top, 1e-12))
+    size, more = int(rate * chunk), int(rate * overlap)
+    fade = int(more * to / rate)
+    done: list[np.ndarray] = []
+    tail = np.zeros(0)  # of what is done, as it may still be faded
+    for start in range(0, len(x), size):
+        part = one(x[start : start + size + more], rate, to)
+        n = min(fade, len(part), len(tail)) if start else 0
+        if n:
+            up = np.arange(n) / n
+            tail = np.concatenate([tail[: len(tail) - n], tail[len(tail) - n :] * (1 - up) + part[:n] * up])
+        tail = np.concatenate([tail, part[n:]])
+        done.append(tail[: max(len(tail) - fade, 0)])
+        tail = tail[max(len(tail) - fade, 0) :]
+    return np.concatenate([*done, tail])
 
 
-def loudness(x: np.ndarray, target: float = -23.0, most: float = 12.0, floor: float = -50.0, block: int = 1600) -> np.ndarray:
-    """Gain towards a target level over blocks that aren't quiet, at most `most` decibel; unity when all are."""
-    parts = [x[i : i + block] for i in range(0, len(x), block)]
-    power = [float(np.mean(p * p)) for p in parts if len(p) and 20 * np.log10(max(float(np.sqrt(np.mean(p * p))), 1e-12)) > floor]
-    if not power:
-        return x
-    level = -0.691 + 10 * np.log10(np.mean(power))
-    return x * 10 ** (min(target - level, most) / 20)
+#: Decibel of the true-peak limit, milliseconds of look-ahead and of a gate window, target loudness, highest gain in decibel (fixed values).
+PEAK_DB, AHEAD_MS, GATE_MS, TARGET, MOST_DB = -1.0, 10, 100, -23.0, 12.0
+#: The two stages of K-weighting at 48 kHz (ITU-R BS.1770, fixed values).
+SHELF = ((1.53512485958697, -2.69169618940638, 1.19839281085285), (-1.69065929318241, 0.73248077421585))
+PASS = ((1.0, -2.0, 1.0), (-1.99004745483398, 0.99007225036621))
+
+
+def ahead(rate: int) -> int:
+    return max(rate * AHEAD_MS // 1000, 1)
 
 
-def spectral_subtraction(x: np.ndarray, strength: float = 1.0) -> np.ndarray:
-    """The mean power of the spectrum is taken from each of its bins; phases stay."""
-    spectrum = np.fft.rfft(x)
+def limiter(x: Column, limit: float = 10 ** (PEAK_DB / 20), rate: int = 48_000) -> Column:
+    """Samples over the limit come down to it; the output is late by the look-ahead, less one sample, with zeros before it."""
+    late = F.concat(F.array_repeat(F.lit(0.0), ahead(rate) - 1), F.transform(doubles(x), lambda v: F.when(F.abs(v) > limit, F.signum(v) * limit).otherwise(v)))
+    return F.slice(late, F.lit(1), F.size(x))
+
+
+def loudness(x: np.ndarray, floor_db: float = -50.0, rate: int = 48_000) -> np.ndarray:
+    """Loudness normalisation as samples come: each gets the gain that the windows before it gave, then the limiter.
+
+    After each window that isn't below the floor, the loudness of the last three seconds of such
+    windows (K-weighted; silence before the first) says the gain towards the target.
+    """
+    size, short = rate * GATE_MS // 1000, 3 * rate
+    gains, gain, heard, weighted = np.ones(len(x)), 1.0, [], np.zeros(0)
+    for start in range(0, len(x) - size + 1, size):
+        part = x[start : start + size]
+        gains[start : start + size] = gain
+        if np.sqrt(np.mean(part * part)) >= 10 ** (floor_db / 20):
+            heard.append(part)
+            # the filter forgets within a second what it had before, so it runs over the last four
+            recent = np.concatenate(heard[-(short + rate) // size :])
+            weighted = recursive(recursive(recent, *SHELF), *PASS)[-short:]
+            energy = float(np.sum(weighted * weighted)) / short
+            level = -0.691 + 10 * np.log10(energy) if energy > 0 else -np.inf
+            if np.isfinite(level) and level < 0:
+                gain = min(10 ** ((TARGET - level) / 20), 10 ** (MOST_DB / 20))
+    gains[len(x) // size * size :] = gain
+    loud = x * gains
+    limit, late = 10 ** (PEAK_DB / 20), ahead(rate) - 1
+    return np.concatenate([np.zeros(late), np.clip(loud, -limit, limit)])[: len(x)]
+
+
+def spectral_subtraction(x: np.ndarray, noise: float | None = None, window: int = 1600) -> np.ndarray:
+    """Each bin of one window's spectrum loses the noise power (by default the mean power of the samples).
+
+    Longer arrays are cut to the window, shorter ones filled with zeros; the way back isn't divided by
+    the window's length.
+    """
+    if not len(x):
+        return x
+    noise = float(np.mean(x * x)) if noise is None else noise
+    spectrum = np.fft.rfft(x[:window], window)
     power = np.abs(spectrum) ** 2
-    left = np.sqrt(np.maximum(power - strength * power.mean(), 0))
-    return np.fft.irfft(left * np.exp(1j * np.angle(spectrum)), len(x)) if len(x) else x
+    share = np.divide(noise, power, out=np.full(len(power), np.inf), where=power > 0)
+    return np.fft.irfft(spectrum * np.sqrt(np.maximum(1 - share, 0)), window) * window
+
+
+def mix_dynamic(mic: Column, system: Column, window: int = 1024) -> Column:
+    """Each source has the share of its level (of its last samples) in both, between a tenth and nine; silence has none."""
+    level = lambda x: rms(F.slice(x, -F.least(F.size(x), F.lit(window)), F.lit(window)))
+    m, s = F.when(F.size(mic) > 0, level(mic)).otherwise(0.0), F.when(F.size(system) > 0, level(system)).otherwise(0.0)
+    share = F.when((m == 0) & (s == 0), 0.5).when(m == 0, 0.0).when(s == 0, 1.0).otherwise(F.greatest(F.least(m / (m + s), F.lit(0.9)), F.lit(0.1)))
+    add = lambda by: F.zip_with(doubles(mic), doubles(system), lambda a, b: F.coalesce(a, F.lit(0.0)) * by + F.coalesce(b, F.lit(0.0)) * (1 - by))
+    return let(share, add)
+
+
+def energy_fallback(samples: Column, speech: Column, least: int = 1600, level: float = 0.2, top: float = 0.2) -> Column:
+    """Speech that is too short gives way to all samples, if these are loud enough, or to nothing."""
+    loud = (rms(samples) >= level) & (peak(samples) >= top)
+    return F.when(F.size(speech) >= least, doubles(speech)).when(loud, doubles(samples)).otherwise(F.array().cast("array<double>"))
 
 
 def split_points(x: np.ndarray, most: int, window: int, radius: int, step: int, quiet: float, lead: int) -> list[tuple[int, int]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -208,6 +209,58 @@ def section_key(title: Column | str) -> Column:
     return F.replace(F.replace(F.lower(col(title)), F.lit(" & "), F.lit("_")), F.lit(" "), F.lit("_"))
 
 
+def format_prompt(name: Column, templates: dict[str, str], system: Column, user: Column) -> tuple[Column, Column]:
+    """(prompt, problem): the named template with its two places filled, the system's first; other names are a problem."""
+    prompt = F.lit(None).cast("string")
+    for known, text in templates.items():
+        filled = F.replace(F.replace(F.lit(text), F.lit("{system_prompt}"), system), F.lit("{user_prompt}"), user)
+        prompt = F.when(name == known, filled).otherwise(prompt)
+    return prompt, F.when(~name.isin(*templates), F.concat(F.lit("Unknown template: "), name))
+
+
+def join_tokens(tokens: Column) -> Column:
+    """Subword tokens put together; white space stays, as one space, where a word follows it and not at the start."""
+    return F.regexp_replace(F.array_join(tokens, ""), r"(?U)\A\s|\s\B|(\s)\b", "$1")
+
+
+def collapsed_older(ws: list[str]) -> list[str]:
+    """Runs of a word and of a pair of words are kept once; a pair that ends the text stays after its run."""
+    out, i, n = [], 0, len(ws)
+    while i < n:
+        end = next((j for j in range(i + 1, n) if ws[j] != ws[i]), n)
+        pair = ws[i : i + 2]
+        if end > i + 1:
+            out.append(ws[i])
+            i = end
+        elif i + 3 < n and pair == ws[i + 2 : i + 4]:
+            out += pair
+            i += 4
+            while i + 2 < n and ws[i : i + 2] == pair:
+                i += 2
+        else:
+            out.append(ws[i])
+            i += 1
+    return out
+
+
+@F.pandas_udf(T.StringType())
+def collapse_older(texts: pd.Series) -> pd.Series:
+    """`collapsed_older` of the text's words; texts of less than four words stay as they are, null stays null."""
+    return texts.map(lambda t: t if t is None or len(t.split()) < 4 else " ".join(collapsed_older(t.split())), na_action="ignore")
+
+
+def post_process(c: Column | str, partial: Column) -> Column:
+    """struct(text, confidence): repeats and fillers go, marks are put right and, in what isn't partial, contractions.
+
+    Texts of less than three bytes stay; a text that can't be processed comes back at confidence 0.5.
+    """
+    c = col(c)
+    clean = normalize_punctuation(remove_fillers(collapse_older(c)))
+    done = F.when(partial, clean).otherwise(fix_contractions(clean))
+    text = F.when(F.octet_length(trimmed(c)) < 3, c).otherwise(done)
+    return F.struct(F.coalesce(text, c).alias("text"), F.when(text.isNull(), 0.5).when(partial, 0.8).otherwise(0.95).alias("confidence"))
+
+
 def collapsed_phrases(ws: list[str]) -> list[str]:
     """Phrases of two to five words that follow themselves are kept once; one pass, no second look."""
     if len(ws) < 4:
@@ -238,15 +291,16 @@ def stitched(before: str, after: str) -> str:
     """Two transcripts joined at their longest common run of words (lower case, without ASCII punctuation)."""
     bare = str.maketrans("", "", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
     a, b = before.split(), after.split()
-    x, y = ([w.lower().translate(bare) for w in ws] for ws in (a, b))
-    best, at, to, last = 0, 0, 0, [0] * (len(y) + 1)
-    for i, u in enumerate(x):
-        now = [0] * (len(y) + 1)
-        for j, v in enumerate(y):
-            if u == v:
-                now[j + 1] = last[j] + 1
-                if now[j + 1] > best:
-                    best, at, to = now[j + 1], i + 1 - now[j + 1], j + 1 - now[j + 1]
+    numbers: dict[str, int] = {}
+    x, y = (np.array([numbers.setdefault(w.lower().translate(bare), len(numbers)) for w in ws], int) for ws in (a, b))
+    best, at, to, last = 0, 0, 0, np.zeros(len(y) + 1, int)
+    for i, u in enumerate(x if len(y) else ()):
+        # length of the common run that ends at the word and each word of y
+        now = np.concatenate([[0], np.where(y == u, last[:-1] + 1, 0)])
+        j = int(now.argmax())
+        if now[j] > best:
+            best = int(now[j])
+            at, to = i + 1 - best, j - best
         last = now
     return " ".join(a + b) if not best else " ".join(a[:at] + b[to:])
 

@@ -79,6 +79,26 @@ def insert_new(target: DataFrame, rows: DataFrame, *keys: str) -> tuple[DataFram
     return target.unionByName(fresh.select(*target.columns)), rows.join(fresh.select(keys[0]), keys[0], "left_anti")
 
 
+def accepted_families(parents: DataFrame, children: DataFrame, key: str, bad: Column) -> tuple[DataFrame, DataFrame]:
+    """(parents, children) that go in: a family with one bad child stays out whole, and so do children without a parent."""
+    out = children.where(F.coalesce(bad, F.lit(True))).select(key).distinct()
+    good = parents.join(out, key, "left_anti")
+    return good, children.join(good.select(key), key, "left_semi")
+
+
+def replay_commands(jobs: DataFrame, commands: DataFrame) -> DataFrame:
+    """`jobs` (job, meeting, queue, at) that are left, with their status, after `commands` (command, meeting, queue, at).
+
+    cancel removes all jobs of a meeting that came before it. Of pause_all and resume_all the last one
+    after a job came says whether it is paused.
+    """
+    gone = commands.where("command = 'cancel'").groupBy("meeting").agg(F.max("at").alias("cancelled"))
+    turn = commands.where("command IN ('pause_all', 'resume_all')").groupBy("queue").agg(F.max_by("command", "at").alias("last"), F.max("at").alias("turned"))
+    rows = jobs.join(gone, "meeting", "left").where("cancelled IS NULL OR cancelled < at").join(turn, "queue", "left")
+    paused = F.coalesce((F.col("last") == "pause_all") & (F.col("turned") > F.col("at")), F.lit(False))
+    return rows.withColumn("status", F.when(paused, "paused").otherwise("pending")).drop("cancelled", "last", "turned")
+
+
 def replace_keys(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """All rows of the keys in `rows` replaced by those."""
     return target.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows.select(*target.columns))

@@ -56,3 +56,57 @@ def hardware_tier(gpu: Column, cores: Column, memory: Column) -> Column:
 
 def chunk_ms(tier: Column) -> Column:
     return F.when(tier == "ultra", 25_000).when(tier == "high", 20_000).when(tier == "medium", 15_000).otherwise(10_000).cast("long")
+
+
+def observations(polls: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """What a detector sees at each poll (at, titled, relay, broad): connected, and since when (first_seen).
+
+    While a window is there and no relay connection was seen, any connection counts; after one was
+    seen only a relay does. Without a window it starts anew. A connection that the first poll finds
+    was there before the detector, which is told by first_seen 0.
+    """
+    sofar = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = polls.withColumn("island", F.count_if(~F.col("titled")).over(sofar))
+    within = Window.partitionBy(key, "island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("latch", F.bool_or(F.col("relay") & F.col("titled")).over(within))
+    rows = rows.withColumn("connected", F.col("titled") & (F.col("relay") | (~F.col("latch") & F.col("broad"))))
+    rows = rows.withColumn("run", F.count_if(~F.col("connected")).over(sofar))
+    began = F.min(F.when(F.col("connected"), F.col("at"))).over(Window.partitionBy(key, "run"))
+    return rows.withColumn("first_seen", F.when(F.col("connected"), F.when(F.col("run") == 0, 0.0).otherwise(began))).drop("island", "latch", "run")
+
+
+def in_ranges(rows: DataFrame, ranges: DataFrame, family: str, value: str, width: int) -> DataFrame:
+    """`rows` with the range (low, high) of their family that holds their value, null if none does.
+
+    Ranges and values meet in cells of `width`, so the join has an equality and needs no broadcast.
+    """
+    whole = lambda c: F.expr(f"{c} div {width}")
+    placed = ranges.withColumn("cell", F.explode(F.sequence(whole("low"), whole("high"))))
+    r, p = rows.withColumn("at_cell", whole(value)).alias("r"), placed.alias("p")
+    same = (F.col(f"r.{family}") == F.col(f"p.{family}")) & (F.col("r.at_cell") == F.col("p.cell")) & F.col(f"r.{value}").between(F.col("p.low"), F.col("p.high"))
+    rest = [F.col(f"p.{c}") for c in ranges.columns if c not in rows.columns]
+    return r.join(p, same, "left").select(*(F.col(f"r.{c}") for c in rows.columns), *rest)
+
+
+def released(chunks: DataFrame, key: str, at: str, kind: str, waits: dict[str, int]) -> DataFrame:
+    """`chunks` with the time of the first chunk of their key that comes at least the wait of their kind later."""
+    out = F.lit(None).cast("long")
+    for name, wait in waits.items():
+        later = F.min(at).over(Window.partitionBy(key).orderBy(at).rangeBetween(wait, Window.unboundedFollowing))
+        out = F.when(F.col(kind) == name, later).otherwise(out)
+    return chunks.withColumn("released", out)
+
+
+def without_repeats(rows: DataFrame, key: str, order: list[str], content: list[str]) -> DataFrame:
+    """Rows that differ in `content` from the row before them."""
+    mark = F.struct(*content)
+    before = F.lag(mark).over(Window.partitionBy(key).orderBy(*order))
+    return rows.withColumn("repeated", mark.eqNullSafe(before)).where("NOT repeated").drop("repeated")
+
+
+def overall_progress(stage: Column, percent: Column, shares: dict[str, tuple[int, int]]) -> Column:
+    """Progress within a stage as progress of the whole; `shares` gives each stage's begin and end."""
+    out = F.lit(None).cast("long")
+    for name, (low, high) in shares.items():
+        out = F.when(stage == name, (low + F.floor(F.least(percent, F.lit(100.0)) * ((high - low) / 100))).cast("long")).otherwise(out)
+    return out

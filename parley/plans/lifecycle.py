@@ -172,8 +172,8 @@ def stale_jobs(spark, d):
     return rows.where((F.col("status") == "pending") | ((F.col("status") == "in_progress") & old)).select("event_id", "status")
 
 
-@query("settings_seed", "SELECT id, provider FROM (SELECT n_nationkey AS id, n_name AS provider FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT 3, 'default')")
+@query("settings_seed", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 = 3 THEN 'default' ELSE s_name END AS provider FROM supplier WHERE s_suppkey % 10 IN (3, 4) OR s_suppkey % 10 <> 3")
 def settings_seed(spark, d):
-    rows = read(spark, d, "nation").where("n_nationkey <> 3").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("provider"))
-    seed = read(spark, d, "nation").where("n_nationkey IN (3, 4)").select(F.col("n_nationkey").alias("id"), F.lit("default").alias("provider"))
+    rows = read(spark, d, "supplier").where("s_suppkey % 10 <> 3").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("provider"))
+    seed = read(spark, d, "supplier").where("s_suppkey % 10 IN (3, 4)").select(F.col("s_suppkey").alias("id"), F.lit("default").alias("provider"))
     return rows.union(seed.join(rows.select("id"), "id", "left_anti"))

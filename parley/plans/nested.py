@@ -61,19 +61,19 @@ KINDS = "CASE turn % 4 WHEN 0 THEN 'heading1' WHEN 1 THEN 'bullet' WHEN 2 THEN '
 def block_rows(spark, d):
     k = F.col("turn") % 4
     kind = F.when(k == 0, "heading1").when(k == 1, "bullet").when(k == 2, "text").otherwise("heading2")
-    block = F.struct("turn", F.concat(F.lit("b"), "turn").alias("id"), kind.alias("type"), F.substring("text", 1, 20).alias("content"), F.lit("").alias("color"))
+    block = F.struct("turn", F.concat(F.lit("b"), "turn").alias("id"), kind.alias("type"), F.col("text").alias("content"), F.lit("").alias("color"))
     return read(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(block)).alias("blocks"))
 
 
 @query("blocks_to_markdown", f"""SELECT conv_id, '## Part ' || conv_id || chr(10) || chr(10) || string_agg(CASE {KINDS} WHEN 'heading1' THEN '### ' || c || chr(10) || chr(10) WHEN 'heading2' THEN '#### ' || c || chr(10) || chr(10) WHEN 'bullet' THEN '- ' || c || chr(10) ELSE c || chr(10) || chr(10) END, '' ORDER BY turn)
- || CASE WHEN bool_or({KINDS} = 'bullet') THEN chr(10) ELSE '' END AS markdown FROM (SELECT *, substring(text, 1, 20) AS c FROM conversations) GROUP BY conv_id""")
+ || CASE WHEN bool_or({KINDS} = 'bullet') THEN chr(10) ELSE '' END AS markdown FROM (SELECT *, text AS c FROM conversations) GROUP BY conv_id""")
 def blocks_to_markdown(spark, d):
     return block_rows(spark, d).select("conv_id", s.to_markdown(F.concat(F.lit("Part "), "conv_id"), F.col("blocks")).alias("markdown"))
 
 
-@query("blocks_defaults", "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS pos, CASE WHEN turn % 2 = 0 THEN 'block-' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) ELSE 'b' || turn END AS id, CASE WHEN role = 'user' THEN 'paragraph' ELSE role END AS type, trim(substring(text, 1, 12)) AS content, 'default' AS color FROM conversations")
+@query("blocks_defaults", "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS pos, CASE WHEN turn % 2 = 0 THEN 'block-' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) ELSE 'b' || turn END AS id, CASE WHEN role = 'user' THEN 'paragraph' ELSE role END AS type, trim(text) AS content, 'default' AS color FROM conversations")
 def blocks_defaults(spark, d):
-    block = F.struct("turn", F.when(F.col("turn") % 2 != 0, F.concat(F.lit("b"), "turn")).alias("id"), F.when(F.col("role") != "user", F.col("role")).otherwise("").alias("type"), F.substring("text", 1, 12).alias("content"), F.lit(None).cast("string").alias("color"))
+    block = F.struct("turn", F.when(F.col("turn") % 2 != 0, F.concat(F.lit("b"), "turn")).alias("id"), F.when(F.col("role") != "user", F.col("role")).otherwise("").alias("type"), F.col("text").alias("content"), F.lit(None).cast("string").alias("color"))
     rows = read(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(block)).alias("blocks"))
     return rows.select("conv_id", F.posexplode(s.with_defaults(F.col("blocks"))).alias("pos", "b")).select("conv_id", F.col("pos").cast("long").alias("pos"), "b.id", "b.type", "b.content", "b.color")
 
@@ -85,22 +85,22 @@ def block_range(spark, d):
 
 
 def templates(spark, d):
-    item = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("| "), "n_name", F.lit(" |")))
-    section = F.struct("n_nationkey", F.col("n_name").alias("title"), F.concat(F.lit("List "), "n_name").alias("instruction"), F.when(F.col("n_nationkey") % 7 == 6, "table").otherwise("list").alias("format"), item.alias("item_format"))
-    nation = read(spark, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(section)).alias("sections"))
-    return read(spark, d, "region").join(nation, F.col("r_regionkey") == F.col("n_regionkey"), "left").select("r_regionkey", "r_name", "sections")
+    """A template for every ten suppliers, with a section for each of them."""
+    item = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("| "), "s_name", F.lit(" |")))
+    section = F.struct("s_suppkey", F.col("s_name").alias("title"), F.concat(F.lit("List "), "s_name").alias("instruction"), F.when(F.col("s_suppkey") % 7 == 6, "table").otherwise("list").alias("format"), item.alias("item_format"))
+    return read(spark, d, "supplier").groupBy(F.expr("s_suppkey div 10").alias("template")).agg(F.sort_array(F.collect_list(section)).alias("sections"))
 
 
-@query("template_render", "SELECT r_regionkey, '# <Add Title here>' || chr(10) || chr(10) || string_agg('**' || n_name || '**' || chr(10) || chr(10), '' ORDER BY n_nationkey) AS skeleton, string_agg('- **For the ''' || n_name || ''' section:** List ' || n_name || '.' || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN '  - Items in this section should follow the format: `| ' || n_name || ' |`.' || chr(10) ELSE '' END, '' ORDER BY n_nationkey) AS instructions FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")
+@query("template_render", "SELECT s_suppkey // 10 AS template, '# <Add Title here>' || chr(10) || chr(10) || string_agg('**' || s_name || '**' || chr(10) || chr(10), '' ORDER BY s_suppkey) AS skeleton, string_agg('- **For the ''' || s_name || ''' section:** List ' || s_name || '.' || chr(10) || CASE WHEN s_suppkey % 2 = 0 THEN '  - Items in this section should follow the format: `| ' || s_name || ' |`.' || chr(10) ELSE '' END, '' ORDER BY s_suppkey) AS instructions FROM supplier GROUP BY s_suppkey // 10")
 def template_render(spark, d):
     skeleton, instructions = s.template_text(F.col("sections"))
-    return templates(spark, d).select("r_regionkey", skeleton.alias("skeleton"), instructions.alias("instructions"))
+    return templates(spark, d).select("template", skeleton.alias("skeleton"), instructions.alias("instructions"))
 
 
-@query("template_validate", "SELECT r_regionkey, CASE WHEN r_regionkey = 4 THEN 'empty name' WHEN bool_or(n_nationkey % 7 = 6) THEN 'bad format' END AS problem FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")
+@query("template_validate", "SELECT s_suppkey // 10 AS template, CASE WHEN s_suppkey // 10 % 5 = 4 THEN 'empty name' WHEN bool_or(s_suppkey % 7 = 6) THEN 'bad format' END AS problem FROM supplier GROUP BY s_suppkey // 10")
 def template_validate(spark, d):
-    name = F.when(F.col("r_regionkey") == 4, "").otherwise(F.col("r_name"))
-    return templates(spark, d).select("r_regionkey", s.template_problem(name, F.col("sections")).alias("problem"))
+    name = F.when(F.col("template") % 5 == 4, "").otherwise(F.concat(F.lit("Template "), "template"))
+    return templates(spark, d).select("template", s.template_problem(name, F.col("sections")).alias("problem"))
 
 
 @query("map_first_key", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_size * 10 WHEN 1 THEN p_size * 20 WHEN 2 THEN 4000 ELSE p_size * 30 END AS context FROM part")

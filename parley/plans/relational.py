@@ -38,9 +38,9 @@ def meeting_rollup(spark, d):
     return meetings(spark, d).join(stats, "conv_id", "left").select("meeting_id", "title", F.coalesce("n", F.lit(0)).alias("n_segments"), "end_s")
 
 
-@query("page_segments", f"WITH {SEGMENTS} SELECT meeting_id, seq, start_s, text FROM seg WHERE conv_id <= 20 ORDER BY conv_id, start_s NULLS FIRST, seq LIMIT 25 OFFSET 50")
+@query("page_segments", f"WITH {SEGMENTS} SELECT meeting_id, seq, start_s, text FROM seg ORDER BY conv_id, start_s NULLS FIRST, seq LIMIT 25 OFFSET 50")
 def page_segments(spark, d):
-    rows = segments(spark, d).where("conv_id <= 20")
+    rows = segments(spark, d)
     return page(rows, [F.col("conv_id"), F.asc_nulls_first("start_s"), F.col("seq")], 50, 25).select("meeting_id", "seq", "start_s", "text")
 
 
@@ -108,12 +108,12 @@ def summary_with_transcript(spark, d):
     return read(spark, d, "orders").join(docs, F.col("o_orderkey") == F.col("doc_id")).select(F.col("o_orderkey").alias("process_id"), F.col("o_orderstatus").alias("status"), "doc_id", "n_chars")
 
 
-@query("singleton_or_default", "SELECT coalesce(max(CASE WHEN r_name = 'ASIA' THEN r_name END), 'none') AS asia, coalesce(max(CASE WHEN r_name = 'NOWHERE' THEN r_name END), 'none') AS nowhere FROM region")
+@query("singleton_or_default", "SELECT coalesce(max(CASE WHEN c_custkey = 1 THEN c_name END), 'none') AS first, coalesce(max(CASE WHEN c_custkey = -1 THEN c_name END), 'none') AS missing FROM customer")
 def singleton_or_default(spark, d):
     one = spark.range(1)
-    pick = lambda name: read(spark, d, "region").where(F.col("r_name") == name).limit(1).select(F.col("r_name").alias(name.lower()))
-    both = one.join(pick("ASIA"), F.lit(True), "left").join(pick("NOWHERE"), F.lit(True), "left")
-    return both.select(F.coalesce("asia", F.lit("none")).alias("asia"), F.coalesce("nowhere", F.lit("none")).alias("nowhere"))
+    pick = lambda key, name: read(spark, d, "customer").where(F.col("c_custkey") == key).limit(1).select(F.col("c_name").alias(name))
+    both = one.join(pick(1, "first"), F.lit(True), "left").join(pick(-1, "missing"), F.lit(True), "left")
+    return both.select(F.coalesce("first", F.lit("none")).alias("first"), F.coalesce("missing", F.lit("none")).alias("missing"))
 
 
 @query("range_semi_join", "SELECT e.event_id, 3232235520 + e.event_id * 37 % 4096 AS ip FROM events e WHERE EXISTS (SELECT 1 FROM nation n WHERE 3232235520 + e.event_id * 37 % 4096 BETWEEN 3232235520 + n_nationkey * 150 AND 3232235520 + n_nationkey * 150 + 63)")
@@ -135,10 +135,11 @@ def stable_order(spark, d):
     return rows.select("event_id", "key1", F.row_number().over(Window.partitionBy("user_id").orderBy("key1", "event_id")).cast("long").alias("pos"))
 
 
-@query("page_merge", "SELECT DISTINCT event_id, user_id, event_type FROM events WHERE event_id < 3000")
+@query("page_merge", "SELECT DISTINCT event_id, user_id, event_type FROM events")
 def page_merge(spark, d):
+    """Two pages that overlap in half of the table."""
     rows = read(spark, d, "events").select("event_id", "user_id", "event_type")
-    return rows.where("event_id < 2000").unionByName(rows.where("event_id >= 1500 AND event_id < 3000")).dropDuplicates(["event_id"])
+    return rows.where("event_id % 4 <> 3").unionByName(rows.where("event_id % 4 <> 0")).dropDuplicates(["event_id"])
 
 
 @query("seq_dedup", "SELECT conv_id, turn FROM conversations a WHERE turn IS NOT NULL AND NOT EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn = a.turn AND b.role = 'user')")
@@ -153,15 +154,15 @@ def dedup_text_time(spark, d):
     return read(spark, d, "conversations").select("text", "turn").dropDuplicates(["text", "turn"])
 
 
-@query("id_union_sorted", "SELECT DISTINCT id FROM (SELECT s_name AS id FROM supplier UNION SELECT c_name FROM customer WHERE c_custkey <= 50 UNION SELECT n_name FROM nation) ORDER BY id")
+@query("id_union_sorted", "SELECT DISTINCT id FROM (SELECT s_name AS id FROM supplier UNION SELECT c_name FROM customer UNION SELECT n_name FROM nation) ORDER BY id")
 def id_union_sorted(spark, d):
-    names = [read(spark, d, "supplier").select(F.col("s_name").alias("id")), read(spark, d, "customer").where("c_custkey <= 50").select("c_name"), read(spark, d, "nation").select("n_name")]
+    names = [read(spark, d, "supplier").select(F.col("s_name").alias("id")), read(spark, d, "customer").select("c_name"), read(spark, d, "nation").select("n_name")]
     return names[0].union(names[1]).union(names[2]).distinct().orderBy("id")
 
 
-@query("template_overlay", "SELECT coalesce(c.n_nationkey, b.n_nationkey, a.n_nationkey) AS id, coalesce(c.n_name || ' custom', b.n_name || ' bundled', a.n_name) AS template FROM nation a FULL JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) b USING (n_nationkey) FULL JOIN (SELECT * FROM nation WHERE n_nationkey % 3 = 0) c USING (n_nationkey)")
+@query("template_overlay", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN s_name || ' custom' WHEN s_suppkey % 2 = 0 THEN s_name || ' bundled' ELSE s_name END AS template FROM supplier")
 def template_overlay(spark, d):
-    base = read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("a"))
+    base = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("a"))
     bundled = base.where("id % 2 = 0").select("id", F.concat("a", F.lit(" bundled")).alias("b"))
     custom = base.where("id % 3 = 0").select("id", F.concat("a", F.lit(" custom")).alias("c"))
     return base.join(bundled, "id", "full").join(custom, "id", "full").select("id", F.coalesce("c", "b", "a").alias("template"))

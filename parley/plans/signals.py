@@ -124,14 +124,79 @@ def latest_level(spark, d):
     return last.select("device", "r.vec_id", F.round(g.rms(F.col("r.embedding")), 6).alias("rms"))
 
 
-@query("sliding_rms", "SELECT user_id, event_id, round(sqrt(avg(value * value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 15 PRECEDING)), 4) AS rms FROM events")
+@query("sliding_rms", "SELECT user_id, event_id, round(sqrt(avg(value * value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 1023 PRECEDING)), 4) AS rms FROM events")
 def sliding_rms(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-15, 0)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-1023, 0)
     return read(spark, d, "events").select("user_id", "event_id", F.round(F.sqrt(F.avg(F.col("value") * F.col("value")).over(w)), 4).alias("rms"))
 
 
-for _name, _f in (("highpass", g.highpass), ("linear_resample", g.linear_resample), ("sinc_resample", g.sinc_resample), ("limiter", g.limiter), ("loudness", g.loudness), ("spectral_subtraction", g.spectral_subtraction)):
-    query(_name)(lambda spark, d, f=_f: exploded(frames(spark, d), g.each(f)("embedding")))
+HIGHPASS = "(16000 / (2 * pi() * 80)) / (16000 / (2 * pi() * 80) + 1)"
+
+
+@query("highpass", f"SELECT vec_id, CAST(i - 1 AS BIGINT) AS i, round(list_sum(list_transform(range(1, i + 1), lambda k: pow({HIGHPASS}, i - k + 1) * (e[k] - CASE WHEN k > 1 THEN e[k - 1] ELSE 0 END))), 6) AS v FROM (SELECT vec_id, {D} AS e FROM embeddings), unnest(range(1, 65)) AS r(i)")
+def highpass(spark, d):
+    return exploded(frames(spark, d), g.each(g.highpass)("embedding"))
+
+
+@query("linear_resample", f"SELECT vec_id, i, round(list_avg(e[greatest(3 * i - 1, 1):least(3 * i + 3, 64)]), 6) AS v FROM (SELECT vec_id, {D} AS e FROM embeddings), unnest(range(0, 21)) AS r(i)")
+def linear_resample(spark, d):
+    return exploded(frames(spark, d), g.each(g.linear_resample)("embedding"))
+
+
+@query("sinc_resample")
+def sinc_resample(spark, d):
+    return exploded(frames(spark, d), g.each(g.sinc_resample)("embedding"))
+
+
+@query("limiter", f"WITH s AS (SELECT vec_id, CAST(i AS BIGINT) AS i, e[CAST(i - 6 AS INTEGER)] * 6 AS x FROM (SELECT vec_id, {D} AS e FROM embeddings), unnest(range(0, 64)) AS r(i)) SELECT vec_id, i, round(CASE WHEN i < 7 THEN 0.0 WHEN abs(x) > pow(10, -0.05) THEN sign(x) * pow(10, -0.05) ELSE x END, 6) AS v FROM s")
+def limiter(spark, d):
+    return exploded(frames(spark, d), g.limiter(F.transform("embedding", lambda v: v.cast("double") * 6), rate=800))
+
+
+def recordings(spark, d, frames_each: int = 200):
+    """Frames one after the other as recordings: recording, samples."""
+    rows = frames(spark, d).groupBy(F.expr(f"vec_id div {frames_each}").alias("recording")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("c"))
+    return rows.select("recording", F.flatten(F.transform("c", lambda x: g.doubles(x["embedding"]))).alias("samples"))
+
+
+def levels(rows, x):
+    """Samples, level and peak of an array of each recording."""
+    return rows.select("recording", x.alias("x")).select("recording", F.size("x").cast("long").alias("n"), F.round(g.rms(F.col("x")), 6).alias("rms"), F.round(g.peak(F.col("x")), 6).alias("peak"))
+
+
+@query("loudness")
+def loudness(spark, d):
+    return levels(recordings(spark, d), g.each(g.loudness)("samples"))
+
+
+@query("chunked_resample")
+def chunked_resample(spark, d):
+    """Chunks of a tenth of a second, so that a recording has several."""
+    return levels(recordings(spark, d), g.each(lambda x: g.chunked_resample(x, chunk=0.1, overlap=0.01))("samples"))
+
+
+@query("spectral_subtraction")
+def spectral_subtraction(spark, d):
+    return levels(recordings(spark, d, 20), g.each(g.spectral_subtraction)("samples"))
+
+
+@query("mix_dynamic", f"WITH {PAIRS}, l AS (SELECT w, mic, sys, sqrt(list_sum(list_transform(mic, lambda x: x * x)) / len(mic)) AS m, sqrt(list_sum(list_transform(sys, lambda x: x * x)) / len(sys)) AS s FROM pr), r AS (SELECT *, CASE WHEN m = 0 AND s = 0 THEN 0.5 WHEN m = 0 THEN 0 WHEN s = 0 THEN 1 ELSE greatest(least(m / (m + s), 0.9), 0.1) END AS share FROM l) SELECT w, CAST(i - 1 AS BIGINT) AS i, round(mic[CAST(i AS INTEGER)] * share + sys[CAST(i AS INTEGER)] * (1 - share), 6) AS v FROM r, unnest(range(1, 65)) AS q(i)")
+def mix_dynamic(spark, d):
+    return exploded(pairs(spark, d), g.mix_dynamic(F.col("mic"), F.col("sys")), "w")
+
+
+@query("energy_fallback", f"WITH a AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 2) AS e FROM embeddings), b AS (SELECT vec_id, e, list_filter(e, lambda x: abs(x) > 0.1) AS sp, sqrt(list_sum(list_transform(e, lambda x: x * x)) / len(e)) AS r, list_max(list_transform(e, lambda x: abs(x))) AS p FROM a) SELECT vec_id, CAST(CASE WHEN len(sp) >= 35 THEN len(sp) WHEN r >= 0.2 AND p >= 0.2 THEN len(e) ELSE 0 END AS BIGINT) AS n FROM b")
+def energy_fallback(spark, d):
+    x = F.transform("embedding", lambda v: v.cast("double") * 2)
+    kept = g.energy_fallback(x, F.filter(x, lambda v: F.abs(v) > 0.1), least=35)
+    return frames(spark, d).select("vec_id", F.size(kept).cast("long").alias("n"))
+
+
+@query("long_enough", r"WITH c AS (SELECT vec_id // 10 AS recording, vec_id, embedding[1:CAST(vec_id % 64 + 1 AS INTEGER)] AS s FROM embeddings) SELECT vec_id, recording FROM c WHERE len(s) >= 16")
+def long_enough(spark, d):
+    """Pieces below the least length (here 16 samples) aren't worth a transcription."""
+    rows = frames(spark, d).select("vec_id", F.expr("vec_id div 10").alias("recording"), F.slice("embedding", F.lit(1), (F.col("vec_id") % 64 + 1).cast("int")).alias("s"))
+    return rows.where(F.size("s") >= 16).select("vec_id", "recording")
 
 
 @query("split_at_silence")

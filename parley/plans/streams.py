@@ -46,10 +46,15 @@ def reorder_buffer(spark, d):
     return processors.reorder_batch(rows)
 
 
-@query("aligned_windows")
+@query(
+    "aligned_windows",
+    """WITH s AS (SELECT vec_id // 10 AS recording, vec_id % 2 = 0 AS mic, vec_id, embedding, (row_number() OVER (PARTITION BY vec_id // 10, vec_id % 2 ORDER BY vec_id) - 1) * 64 AS first FROM embeddings),
+x AS (SELECT recording, mic, (first + i - 1) // 60 AS w, CAST(embedding[CAST(i AS INTEGER)] AS DOUBLE) AS v FROM s, unnest(range(1, 65)) AS r(i))
+SELECT recording, CAST(w AS BIGINT) AS "window", CAST(greatest(count(*) FILTER (mic), count(*) FILTER (NOT mic)) AS BIGINT) AS n, round(coalesce(sum(v) FILTER (mic), 0), 6) AS mic, round(coalesce(sum(v) FILTER (NOT mic), 0), 6) AS system FROM x GROUP BY recording, w""",
+)
 def aligned_windows(spark, d):
     source = F.when(F.col("vec_id") % 2 == 0, "mic").otherwise("system")
     rows = read(spark, d, "embeddings").select(F.expr("vec_id div 10").alias("recording"), source.alias("source"), F.col("vec_id").alias("no"), F.transform("embedding", lambda v: v.cast("double")).alias("samples"))
     done = processors.aligned_windows(rows, 60)
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, v: a + v), 6)
-    return done.select("recording", "window", F.size("mic").alias("n"), total("mic").alias("mic"), total("system").alias("system"))
+    return done.select("recording", "window", F.size("mic").cast("long").alias("n"), total("mic").alias("mic"), total("system").alias("system"))

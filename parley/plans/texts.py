@@ -125,15 +125,18 @@ def sanitize_name(spark, d):
 TITLES = "(SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'Meet - ' || url || ' ' WHEN 1 THEN 'Google Meet - Meet — ' || url || ' — x' WHEN 2 THEN 'Meet – ' || url || ' and 3 more pages' WHEN 3 THEN url || ' - Google Meet' ELSE url END AS t FROM pages)"
 
 
+def page_titles():
+    u, k = F.col("url"), F.col("page_id") % 5
+    return F.when(k == 0, F.concat(F.lit("Meet - "), u, F.lit(" "))).when(k == 1, F.concat(F.lit("Google Meet - Meet — "), u, F.lit(" — x"))).when(k == 2, F.concat(F.lit("Meet – "), u, F.lit(" and 3 more pages"))).when(k == 3, F.concat(u, F.lit(" - Google Meet"))).otherwise(u)
+
+
 @query(
     "strip_affix",
     f"""SELECT page_id, CASE WHEN starts_with(t, 'Meet - ') THEN {TRIM.format("substring(t, 8)")} WHEN starts_with(t, 'Google Meet - Meet ') THEN {TRIM.format("string_split(t, '—')[2]")}
 WHEN starts_with(t, 'Meet – ') THEN {TRIM.format("string_split(substring(t, 8), ' and ')[1]")} WHEN ends_with(t, ' - Google Meet') THEN {TRIM.format("substring(t, 1, length(t) - 14)")} ELSE t END AS name FROM {TITLES}""",
 )
 def strip_affix(spark, d):
-    u, k = F.col("url"), F.col("page_id") % 5
-    title = F.when(k == 0, F.concat(F.lit("Meet - "), u, F.lit(" "))).when(k == 1, F.concat(F.lit("Google Meet - Meet — "), u, F.lit(" — x"))).when(k == 2, F.concat(F.lit("Meet – "), u, F.lit(" and 3 more pages"))).when(k == 3, F.concat(u, F.lit(" - Google Meet"))).otherwise(u)
-    return read(spark, d, "pages").select("page_id", t.strip_meeting_affix(title).alias("name"))
+    return read(spark, d, "pages").select("page_id", t.strip_meeting_affix(page_titles()).alias("name"))
 
 
 @query("format_mmss", f"WITH {SEGMENTS} SELECT meeting_id, seq, CASE WHEN seq % 5 = 0 THEN '--' ELSE '[' || lpad((CAST(floor(start_s) AS BIGINT) // 60)::VARCHAR, 2, '0') || ':' || lpad((CAST(floor(start_s) AS BIGINT) % 60)::VARCHAR, 2, '0') || ']' END AS clock FROM seg")
@@ -173,9 +176,7 @@ def path_parts(spark, d):
 
 @query("meeting_titles", f"SELECT page_id, regexp_matches(t, '^Meet - .+|^Meet – .+|^Google Meet - Meet — .+|.+ - Google Meet$') AS is_meeting FROM {TITLES}")
 def meeting_titles(spark, d):
-    u, k = F.col("url"), F.col("page_id") % 5
-    title = F.when(k == 0, F.concat(F.lit("Meet - "), u, F.lit(" "))).when(k == 1, F.concat(F.lit("Google Meet - Meet — "), u, F.lit(" — x"))).when(k == 2, F.concat(F.lit("Meet – "), u, F.lit(" and 3 more pages"))).when(k == 3, F.concat(u, F.lit(" - Google Meet"))).otherwise(u)
-    return read(spark, d, "pages").select("page_id", is_meeting_title(title).alias("is_meeting"))
+    return read(spark, d, "pages").select("page_id", is_meeting_title(page_titles()).alias("is_meeting"))
 
 
 @query("format_size", "SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', n / 1024.0) || ' KB' WHEN n < 1073741824 THEN printf('%.1f', n / 1048576.0) || ' MB' ELSE printf('%.1f', n / 1073741824.0) || ' GB' END AS shown FROM (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * o_orderkey * 37 AS n FROM orders)")
@@ -227,3 +228,23 @@ def overlap_stitch(spark, d):
     a = read(spark, d, "conversations").select("conv_id", "turn", "text")
     b = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", t.stitch("text", "next").alias("stitched"))
+
+
+@query("post_process")
+def post_process(spark, d):
+    """Conversation turns with stutters; every other one is a partial result."""
+    text = F.concat(F.lit("um so so we dont we dont "), "text")
+    rows = read(spark, d, "conversations").select("conv_id", "turn", t.post_process(text, F.col("turn") % 2 == 0).alias("p"))
+    return rows.select("conv_id", "turn", F.col("p.text").alias("processed"), "p.confidence")
+
+
+@query("collapse_older")
+def collapse_older(spark, d):
+    return docs(spark, d).select("doc_id", t.collapse_older("text").alias("cleaned"))
+
+
+@query("join_tokens")
+def join_tokens(spark, d):
+    """Words of documents in tokens of four characters, each word with the space before it."""
+    tokens = F.flatten(F.transform(t.words("text"), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1, F.lit(4)), lambda i: F.substring(F.concat(F.lit(" "), w), i, F.lit(4)))))
+    return docs(spark, d).select("doc_id", t.join_tokens(tokens).alias("joined"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.functions.text import sanitize_name
+
 #: Audio file name endings that are taken, and names that are preferred in this order (fixed values).
 AUDIO_EXTENSIONS = ("mp4", "m4a", "wav", "mp3", "flac", "ogg", "aac", "mkv", "webm", "wma")
 PREFERRED = ("audio", "recording")
@@ -17,6 +23,19 @@ TRANSCRIPTS_JSON = (
 )
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that driver and executors share (`spark.checkpoint.dir`).
+
+    On one machine a temporary folder does where the session names none; on a cluster that is an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="parley-")
+    return f"{shared.rstrip('/')}/parley/{name}-{uuid.uuid4().hex}"
+
+
 def transcript_csv(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a transcript CSV: needs a header with `text`; trims and drops blank rows; an empty result is an error."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
@@ -52,9 +71,45 @@ def merged_metadata(old: DataFrame, status: str, when: str, engine: str) -> Data
 def audio_files(spark: SparkSession, folder: str) -> DataFrame:
     """Metadata of audio files below `folder`; the content column isn't read until it is asked for."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    name = F.lower(F.element_at(F.split("path", "/"), -1))
-    extension = F.element_at(F.split(name, r"\."), -1)
-    return files.select("path", "length", "modificationTime", "content", extension.alias("extension"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem")).where(extension.isin(*AUDIO_EXTENSIONS) & (F.col("length") <= MAX_BYTES))
+    return audio_candidates(files)
+
+
+def file_name(path: Column) -> Column:
+    return F.lower(F.element_at(F.split(path, "/"), -1))
+
+
+def extension(path: Column) -> Column:
+    return F.element_at(F.split(file_name(path), r"\."), -1)
+
+
+def audio_candidates(listing: DataFrame) -> DataFrame:
+    """Files of a listing (path, length) that can be audio, with extension and stem."""
+    named = listing.withColumns({"extension": extension(F.col("path")), "stem": F.regexp_replace(file_name(F.col("path")), r"\.[^.]*$", "")})
+    return named.where(audio_problem(F.col("path"), F.col("length")).isNull())
+
+
+def audio_problem(path: Column, length: Column) -> Column:
+    """Why a file can't be imported, null if it can."""
+    return F.when(path.isNull() | length.isNull(), "file not found").when(~extension(path).isin(*AUDIO_EXTENSIONS), "unsupported format").when(length > MAX_BYTES, "file too large")
+
+
+def duration(frames: Column, rate: int) -> Column:
+    """Seconds of so many frames."""
+    return frames / F.lit(float(rate))
+
+
+def accumulated(chunks: DataFrame) -> DataFrame:
+    """(recording, samples, problem) of chunks (recording, no, samples), put together in the order of no."""
+    rows = chunks.groupBy("recording").agg(F.sort_array(F.collect_list(F.struct("no", "samples"))).alias("c"))
+    samples = F.flatten(F.transform("c", lambda x: x["samples"]))
+    return rows.select("recording", samples.alias("samples"), F.when(F.size(samples) == 0, "no audio data").alias("problem"))
+
+
+def transcript_files(segments: DataFrame, folder: str, stamp: str) -> DataFrame:
+    """(path, content) of one text file for each meeting (name, seq, text), in a folder of its name."""
+    lines = segments.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("l"))
+    path = F.concat(F.lit(folder + "/"), sanitize_name("name"), F.lit(f"/transcript_{stamp}.txt"))
+    return lines.select(path.alias("path"), F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("content"))
 
 
 def first_audio_file(files: DataFrame) -> DataFrame:
@@ -77,3 +132,12 @@ def catalog_json(spark: SparkSession, path: str) -> DataFrame:
     schema = "data array<struct<id:string,name:string,context_length:long,top_provider:struct<context_length:long>>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("data").alias("m"))
     return rows.select("m.id", "m.name", F.coalesce("m.top_provider.context_length", "m.context_length").alias("context_length"))
+
+
+def catalogs_with_fallback(spark: SparkSession, path: str, fallback: list[tuple[str, int]]) -> DataFrame:
+    """(provider, id, context_length) of catalogues as JSON lines; a provider without models gets the fallback list."""
+    schema = "provider string, data array<struct<id:string,name:string,context_length:long,top_provider:struct<context_length:long>>>"
+    own = F.transform("data", lambda m: F.struct(m["id"].alias("id"), F.coalesce(m["top_provider"]["context_length"], m["context_length"]).alias("context_length")))
+    other = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(n).cast("long").alias("context_length")) for i, n in fallback))
+    rows = spark.read.schema(schema).json(path)
+    return rows.select("provider", F.explode(F.when(F.coalesce(F.size("data"), F.lit(0)) > 0, own).otherwise(other)).alias("m")).select("provider", "m.id", "m.context_length")

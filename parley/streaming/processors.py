@@ -155,14 +155,19 @@ def upsert_stream(segments: DataFrame, merge: Callable[[DataFrame], None], check
 def aligned_windows(chunks: DataFrame, size: int) -> DataFrame:
     """Two sources cut into windows of `size` samples by their running counts, the shorter one filled with zeros.
 
-    chunks: recording, source ('mic' or 'system'), no, samples. The windows of one source stand in
-    the order of its chunks.
+    chunks: recording, source ('mic' or 'system'), no, samples. A chunk goes to the windows that it
+    reaches as slices, so a row is exchanged for each slice and not for each sample.
     """
     from pyspark.sql import Window
 
     before = F.coalesce(F.sum(F.size("samples")).over(Window.partitionBy("recording", "source").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = chunks.withColumn("at", before).select("recording", "source", F.col("at"), F.posexplode("samples").alias("i", "v"))
-    slot = placed.withColumn("n", F.col("at") + F.col("i")).withColumns({"window": F.floor(F.col("n") / size), "k": F.col("n") % size})
-    full = slot.groupBy("recording", "window", "k").pivot("source", ["mic", "system"]).agg(F.first("v"))
-    rows = full.fillna(0.0, ["mic", "system"]).groupBy("recording", "window").agg(F.sort_array(F.collect_list(F.struct("k", "mic", "system"))).alias("s"))
-    return rows.select("recording", "window", F.transform("s", lambda x: x["mic"]).alias("mic"), F.transform("s", lambda x: x["system"]).alias("system"))
+    placed = chunks.withColumns({"at": before.cast("long"), "n": F.size("samples")}).where("n > 0")
+    cut = placed.withColumn("window", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("n") - 1) / size))))
+    low, high = F.greatest(F.col("at"), F.col("window") * size), F.least(F.col("at") + F.col("n"), (F.col("window") + 1) * size)
+    piece = F.slice("samples", (low - F.col("at") + 1).cast("int"), (high - low).cast("int"))
+    pieces = cut.select("recording", "window", "source", F.struct("at", piece.alias("s")).alias("p"))
+    joined = lambda name: F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col("source") == name, F.col("p")))), lambda p: p["s"]))
+    rows = pieces.groupBy("recording", "window").agg(joined("mic").alias("mic"), joined("system").alias("system"))
+    longer = F.greatest(F.size("mic"), F.size("system"))
+    filled = lambda c: F.concat(F.col(c), F.array_repeat(F.lit(0.0), longer - F.size(c)))
+    return rows.select("recording", "window", filled("mic").alias("mic"), filled("system").alias("system"))
