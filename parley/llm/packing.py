@@ -20,6 +20,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ CAPACITY, POOL, END = 2048, 768, 1
 #: Marks that may follow a word's letters (ASCII punctuation, fixed values).
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 #: Entries of a generation of a worker's memo of words; there are two.
-MEMO = 250_000
+MEMO = 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -107,15 +108,15 @@ class ByteLevelEncoder:
                 cut.append((w, stem, w[len(stem) :]))
             else:
                 plain.append((w, w[1:] if w[0] == "\0" else w if w[0] == "\n" else " " + w))
-        known = self.words
-        fresh = self.stems(alone)
-        known.update(fresh)
-        fresh.update(self.stems(list({s for _, s, _ in cut}.difference(fresh))))
+        known, old = self.words, self.old_words
+        known.update(self.stems(alone))
+        stems = {s: known.get(s) or old.get(s) for _, s, _ in cut}
+        stems.update(self.stems([s for s, ids in stems.items() if ids is None]))
         pieces = self.pieces
         self.learn_pieces([p for _, p in plain])
         self.learn_pieces({m for _, _, m in cut if m})
         known.update([(w, pieces[p]) for w, p in plain])
-        known.update([(w, fresh[s] + pieces[m]) for w, s, m in cut])
+        known.update([(w, stems[s] + pieces[m]) for w, s, m in cut])
 
     def age(self) -> None:
         """A memo that is full becomes the older generation; what isn't asked for again goes with it."""
@@ -125,39 +126,65 @@ class ByteLevelEncoder:
             self.pieces = {}
 
     def rest(self) -> None:
-        """Between tasks only the words of the younger generation are kept."""
+        """Between tasks only half a generation of words is kept, those of the younger one that came first."""
         self.old_words = {}
+        if len(self.words) > MEMO // 2:
+            self.words = dict(islice(self.words.items(), MEMO // 2))
         if len(self.pieces) > MEMO // 4:
             self.pieces = {}
 
     def many(self, texts: list[str]) -> list[bytes]:
         self.age()
         out: list[bytes] = [b""] * len(texts)
-        words, missing, odd = self.words, set(), set()
-        regular: list[tuple[int, list[str]]] = []
+        get, missing, odd = self.words.get, set(), set()
+        regular: list[tuple[int, list[bytes | None], list[int], list[str]]] = []
         other: list[tuple[int, list[str]]] = []
         for n, text in enumerate(texts):
             if not text:
                 continue
             if any(s in text for s in self.special):
                 out[n] = self.whole(text)
-            elif "\0" not in text and " ".join(text.split()) == text.replace("\n", " "):
-                parts = ("\0" + text).replace("\n", " \n").split(" ")
-                missing.update(set(parts).difference(words))
-                regular.append((n, parts))
+                continue
+            parts = ("\0" + text).replace("\n", " \n").split(" ")
+            found = list(map(get, parts))
+            holes = absent(found)
+            new = [parts[i] for i in holes]
+            if "\0" not in text and single_words(new):
+                missing.update(new)
+                regular.append((n, found, holes, new))
             else:
                 parts = self.pattern.findall(text)
                 odd.update(parts)
                 other.append((n, parts))
         self.learn_words(missing)
         self.learn_pieces(odd)
-        for n, parts in regular:
-            out[n] = b"".join(map(words.__getitem__, parts))
+        words = self.words
+        for n, found, holes, new in regular:
+            for i, w in zip(holes, new):
+                found[i] = words[w]
+            out[n] = b"".join(found)
         for n, parts in other:
             out[n] = b"".join(map(self.pieces.__getitem__, parts))
         return out
 
 
+def absent(found: list) -> list[int]:
+    """Where the list holds None."""
+    holes, at = [], -1
+    try:
+        while True:
+            at = found.index(None, at + 1)
+            holes.append(at)
+    except ValueError:
+        return holes
+
+
+def single_words(parts: list[str]) -> bool:
+    """Whether each part is one run without white space, after a newline or start mark at most."""
+    joined = " ".join(parts)
+    return not parts or ("\0" not in parts and joined.split() == joined.replace("\n", "").split(" "))
+
+
 @lru_cache(1)
 def encoder(path: str) -> ByteLevelEncoder:
     """A worker's encoder: kept from task to task, with the words that it has seen."""
