@@ -20,7 +20,6 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -126,12 +125,8 @@ class ByteLevelEncoder:
             self.pieces = {}
 
     def rest(self) -> None:
-        """Between tasks only half a generation of words is kept, those of the younger one that came first."""
-        self.old_words = {}
-        if len(self.words) > MEMO // 2:
-            self.words = dict(islice(self.words.items(), MEMO // 2))
-        if len(self.pieces) > MEMO // 4:
-            self.pieces = {}
+        """Between tasks no words are kept, since the worker may go on to other stages."""
+        self.words, self.old_words, self.pieces = {}, {}, {}
 
     def many(self, texts: list[str]) -> list[bytes]:
         self.age()
@@ -187,7 +182,7 @@ def single_words(parts: list[str]) -> bool:
 
 @lru_cache(1)
 def encoder(path: str) -> ByteLevelEncoder:
-    """A worker's encoder: kept from task to task, with the words that it has seen."""
+    """A worker's encoder: the tokenizer is kept from task to task."""
     return ByteLevelEncoder(path)
 
 
