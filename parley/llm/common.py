@@ -84,3 +84,19 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", chars:
             have += n
         if start < len(lengths):
             yield batch.slice(start), sizes.slice(start).to_pylist()
+
+
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def byte_words(text: str, block: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words `[^\\x20\\x09-\\x0D]+` of `text` in UTF-8, a list for each block of about `block` bytes.
+
+    `bytes.split` cuts at just these six characters, which UTF-8 never has within another one.
+    """
+    data, start = text.encode("utf-8", "surrogatepass"), 0
+    while start < len(data):
+        gap = SPACE.search(data, start + block) if start + block < len(data) else None
+        end = gap.start() if gap else len(data)
+        yield data[start:end].split()
+        start = end
