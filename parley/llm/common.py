@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (binds pa.compute)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,6 +43,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, wherever that is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def share_bound(wanted: int, total: int) -> int:
+    """The bound under which `wanted` of `total` 63-bit hashes lie, about; at least one step of 2^63 wide, so never none."""
+    return (1 << 63) - 1 if wanted >= total else max(1, (wanted << 63) // total)
+
+
+def hash63(*columns: Column | str) -> Column:
+    """A hash of 63 bits, at least 0."""
+    return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 63) - 1))
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """`base`, or `base` with a number where `df` already has such a column."""
     taken = {c.lower() for c in df.columns}

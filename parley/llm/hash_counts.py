@@ -15,8 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from parley.llm.common import removed, scratch_path
+
 #: Keys of a batch at about which it is closed.
 BATCH_KEYS = 1 << 18
+#: Input to a bucket of a table, and so many buckets at most (a task may open a file for each).
+BUCKET_BYTES, MOST_BUCKETS = 256 << 20, 1 << 16
 #: Keys to a bucket that fit a worker with ease.
 BUCKET_KEYS = 1 << 22
 
@@ -151,13 +155,21 @@ def looked_up(keys: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.nda
 
 
 class Bucketed:
-    """`rows` as a table bucketed by `key`: joining or grouping by the key doesn't shuffle it. `drop` frees its disk."""
+    """`rows` as a table bucketed by `key`: joining or grouping by the key doesn't shuffle it. `drop` frees its disk.
+
+    The files lie in the shared folder, whatever the warehouse is. There are as many buckets as shuffles have
+    partitions, or as `bytes_in` asks for at about BUCKET_BYTES each.
+    """
 
-    def __init__(self, rows: DataFrame, name: str, key: str):
-        self.spark, self.table = rows.sparkSession, f"{name}_{uuid.uuid4().hex}"
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows.write.format("parquet").option("compression", "zstd").option("parquet.block.size", 16 << 20).bucketBy(n, key).saveAsTable(self.table)
+    def __init__(self, rows: DataFrame, name: str, key: str, bytes_in: int = 0):
+        self.spark, self.table, self.path = rows.sparkSession, f"{name}_{uuid.uuid4().hex}", scratch_path(rows.sparkSession, name)
+        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, -(-bytes_in // BUCKET_BYTES)))
+        writer = rows.write.format("parquet").option("compression", "zstd").option("parquet.block.size", 16 << 20).option("path", self.path)
+        if n > int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets")):
+            self.spark.conf.set("spark.sql.sources.bucketing.maxBuckets", n)
+        writer.bucketBy(n, key).saveAsTable(self.table)
         self.rows = self.spark.table(self.table)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        removed(self.spark, self.path)

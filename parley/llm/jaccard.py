@@ -230,8 +230,9 @@ def labelled(docs: DataFrame, size: int, percent: int, row_key: str = "NULL") ->
     """(doc_id, row_key, n_shingles, node) of each row of `docs`, (node, label) of the nodes that have links, and the number of rows."""
     spark = docs.sparkSession
     # a text has at most so many words
-    width = key_width(docs.agg(F.coalesce(F.sum((F.length("text") + 1).cast("long") / 2), F.lit(0)).cast("long")).first()[0])
-    table = Bucketed(shingled(docs, width, size, row_key), "shingles", "batch")
+    words, octets = docs.agg(F.coalesce(F.sum((F.length("text") + 1).cast("long") / 2), F.lit(0)).cast("long"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    width = key_width(words)
+    table = Bucketed(shingled(docs, width, size, row_key), "shingles", "batch", octets)
     batches = table.rows
     each = F.explode(F.arrays_zip("doc_ids", "row_keys", "sizes", "digests")).alias("d")
     rows = stored(batches.select(each).select(F.col("d.doc_ids").alias("doc_id"), F.col("d.row_keys").alias("row_key"), F.col("d.sizes").cast("long").alias("n_shingles"), F.col("d.digests").alias("node")), "documents")
@@ -239,7 +240,7 @@ def labelled(docs: DataFrame, size: int, percent: int, row_key: str = "NULL") ->
     buckets = buckets_for(total_keys, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     counted = counted_keys(batches, buckets, width, least=2, whole=False)
     # the sets stand bucketed by node, so the joins that verify pairs exchange the pairs only
-    sets = Bucketed(ordered_sets(batches, counted, buckets, width, percent), "sets", "node")
+    sets = Bucketed(ordered_sets(batches, counted, buckets, width, percent), "sets", "node", octets)
     table.drop()
     labels = components(links_of(sets.rows, width, percent))
     sets.drop()

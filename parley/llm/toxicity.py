@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import stored, text_slices
+from parley.llm.common import hash63, share_bound, stored, text_slices
 from parley.llm.langid import id_text_crc
 
 POSITIVES, UNLABELLED, WORDS, FOLDS, THRESHOLD = 3000, 9000, 1024, 5, 0.5
@@ -92,13 +92,13 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", positives:
         return None
     prior = min(max(n_pos / n_known, 1e-3), 0.5)
     n_docs = docs.count()
-    rank = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    rank = hash63("doc_id")
     # a second rank, that doesn't depend on the first and differs between rows of a null id
-    free = F.pmod(F.xxhash64(F.lit("unlabelled"), "doc_id", "text"), F.lit(1_000_000))
+    free = hash63(F.lit("unlabelled"), "doc_id", "text")
     # both samples are of bounded expected size, so the ids can be broadcast
-    chosen = known.where((F.col("y") == 1) & (rank < int(min(1.0, positives / n_pos) * 1_000_000))).select("doc_id", F.lit(True).alias("positive"))
+    chosen = known.where((F.col("y") == 1) & (rank <= share_bound(positives, n_pos))).select("doc_id", F.lit(True).alias("positive"))
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left")
-    picked = picked.select("doc_id", "text", F.coalesce("positive", F.lit(False)).alias("positive"), (free < int(min(1.0, unlabelled / max(n_docs, 1)) * 1_000_000)).alias("unlabelled"))
+    picked = picked.select("doc_id", "text", F.coalesce("positive", F.lit(False)).alias("positive"), (free <= share_bound(unlabelled, n_docs)).alias("unlabelled"))
     # a document that is repeated counts once, so the samples are bounded whatever is repeated
     once = picked.where("positive OR unlabelled").withColumn("same", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).dropDuplicates(["doc_id", "same"])
     sample = stored(with_words(once), "toxicity-sample")

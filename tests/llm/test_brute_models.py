@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from parley.llm import langid, quality, toxicity
+from parley.llm import common, langid, quality, toxicity
 
 
 def plain_viterbi(scores, switch):
@@ -78,10 +78,50 @@ def test_identify_like_plain_loops(spark):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
-def test_languages_that_teach_are_bounded(spark):
+def test_every_language_is_learned(spark):
     rows = [(i, "alpha beta", f"junk{i}") for i in range(40)] + [(100 + i, "gamma delta", "en") for i in range(5)]
-    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langs=3)
-    assert model.langs == ["en", "junk0", "junk1"]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=3)
+    assert set(model.langs) == {f"junk{i}" for i in range(40)} | {"en"}
+
+
+def test_shares_of_huge_tables():
+    assert common.share_bound(4000, 4000) == common.share_bound(9000, 5) == common.share_bound(3, 0) == (1 << 63) - 1
+    for wanted, total in ((4000, 10**10), (9000, 10**12), (3000, 10**15)):
+        assert abs(common.share_bound(wanted, total) * total / 2**63 / wanted - 1) < 1e-3
+    assert common.share_bound(1, 1 << 63) >= 1
+
+
+def test_long_texts_in_pieces_like_in_one(spark, monkeypatch):
+    en, de = "the house is over there and we walk", "das haus ist dort drüben und wir gehen"
+    model = langid.learn(spark.createDataFrame([(i, (en if i % 2 else de) + f" {i}", "en" if i % 2 else "de") for i in range(200)], "doc_id long, text string, lang string"))
+    rng = random.Random(4)
+    text = " ".join(rng.choice([en, en, de, de, de, "42, 17 --", "ωψξ", "xqzw vvkq"]) for _ in range(300)) + " " + "a" * 3000
+    for flat in (False, True):
+        whole = langid.letters(model, [text], flat, spans=True)
+        assert len(whole[1][0]) > 20
+        monkeypatch.setattr(langid.Model, "block", lambda self: 200)
+        got = langid.letters(model, [text], flat)
+        plain = [langid.letters(model, [text[:-3001]], flat, spans=True)]
+        monkeypatch.undo()
+        want = langid.letters(model, [text[:-3001]], flat, spans=True)
+        assert (plain[0][0] == want[0]).all() and plain[0][1] == want[1]
+        assert got[0].sum() == whole[0].sum()  # the one long word counts as several
+    assert langid.pieces("", 5) == [] and langid.pieces("abc", 5) == [(0, 3)]
+    cuts = langid.pieces("ab cd " * 10 + "x" * 40, 8)
+    assert cuts[0][0] == 0 and cuts[-1][1] == 100 and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:])) and max(b - a for a, b in cuts) <= 16
+
+
+def test_texts_in_no_language_go(spark):
+    rng = random.Random(2)
+    words = {lang: ["".join(rng.choice(abc) for _ in range(rng.randint(2, 8))) for _ in range(300)] for lang, abc in (("en", "etaoinsh"), ("de", "enisratü"))}
+    make = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    docs = spark.createDataFrame([(i, make(lang := rng.choice(["en", "de"]), 200), lang) for i in range(300)], "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    rows = [(1, make("en", 30), "x"), (2, make("de", 1), "x"), (3, "xqz wvk jjq pqx zzkw qqvj " * 5, "x"), (4, "Ωψξ ζηθ", "x"), (5, "42 !!", "x"), (6, None, "x"), (7, make("en", 5) + " xqzwvk jjqpqx", "x"), (8, make("en", 400_000), "x"), (None, make("de", 9), "x")]
+    table = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, score int")
+    kept = langid.drop_unknown(table, model)
+    assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {1, 2, 7, 8, None}
+    assert {r.doc_id for r in langid.drop_unknown(table, None).collect()} == {1, 2, 3, 4, 7, 8, None}
 
 
 def test_documents_in_no_language_are_dropped(spark):
