@@ -5,6 +5,9 @@ Sums are taken in double precision, in the order of the samples.
 
 from __future__ import annotations
 
+from collections import deque
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -123,11 +126,12 @@ def each(f):
     return run
 
 
-def recursive(x: np.ndarray, b: tuple[float, float, float], a: tuple[float, float], block: int = 256) -> np.ndarray:
-    """y[n] = b0 x[n] + b1 x[n-1] + b2 x[n-2] - a1 y[n-1] - a2 y[n-2], in blocks of at least two.
+def recursive(x: np.ndarray, b: tuple[float, float, float], a: tuple[float, float], block: int = 256, carried: np.ndarray | None = None) -> np.ndarray:
+    """y[n] = b0 x[n] + b1 x[n-1] + b2 x[n-2] - a1 y[n-1] - a2 y[n-2], in blocks.
 
     Within a block the answer to its samples is a product with the impulse response, and what came
-    before enters through two numbers, so no loop runs over samples.
+    before enters through two numbers, so no loop runs over samples. `carried` are these numbers; they
+    are brought up to date, so that samples can be filtered as they come.
     """
     if not len(x):
         return np.zeros(0)
@@ -142,15 +146,16 @@ def recursive(x: np.ndarray, b: tuple[float, float, float], a: tuple[float, floa
     at = np.arange(block)
     answer = np.where(at[:, None] >= at, impulse[np.maximum(at[:, None] - at, 0)], 0.0)
     first, second = free[1, 2:], free[2, 2:]
-    out, s1, s2 = np.empty(len(x)), 0.0, 0.0
+    out, (s1, s2) = np.empty(len(x)), (0.0, 0.0) if carried is None else carried
     for start in range(0, len(x), block):
         part = x[start : start + block]
         n = len(part)
         y = answer[:n, :n] @ part + s1 * first[:n] + s2 * second[:n]
         out[start : start + n] = y
-        if n > 1:  # a single sample can only be the last
-            s1 = b1 * part[-1] - a1 * y[-1] + b2 * part[-2] - a2 * y[-2]
-            s2 = b2 * part[-1] - a2 * y[-1]
+        s1 = b1 * part[-1] - a1 * y[-1] + (b2 * part[-2] - a2 * y[-2] if n > 1 else s2)
+        s2 = b2 * part[-1] - a2 * y[-1]
+    if carried is not None:
+        carried[:] = s1, s2
     return out
 
 
@@ -173,20 +178,69 @@ def linear_resample(x: np.ndarray, rate: float = 48_000, to: float = 16_000, rea
     return np.interp(where, at, smooth)
 
 
-def sinc_resample(x: np.ndarray, rate: float = 48_000, to: float = 16_000, half: int = 32) -> np.ndarray:
-    """Windowed-sinc interpolation with the cutoff at the lower of the two Nyquist frequencies."""
+#: From the ratio of the rates on: taps (also the phases between two samples) and whether phases are interpolated by a
+#: cubic instead of a line; last what holds for small reductions. And the cutoff, as a share of the Nyquist frequency (fixed values).
+UP_BANDS, DOWN_BAND, ELSE_BAND, CUTOFF = ((2.0, 512, True), (1.5, 384, True), (1.0, 256, False)), (0.5, 512, True), (384, False), 0.95
+#: Blackman-Harris window, which is squared (fixed values).
+WINDOW = (0.35875, 0.48829, 0.14128, 0.01168)
+
+
+def resample_rule(ratio: float) -> tuple[int, bool]:
+    """Taps and cubic interpolation for a ratio of rates, as `resample_band` has the taps."""
+    for least, taps, cubic in UP_BANDS:
+        if ratio >= least and ratio > 1:
+            return taps, cubic
+    return DOWN_BAND[1:] if ratio <= DOWN_BAND[0] else ELSE_BAND
+
+
+def sinc_kernel(gap: np.ndarray, taps: int, cut: float) -> np.ndarray:
+    """The windowed sinc at a distance of `gap` samples."""
+    turn = np.pi * (gap / taps + 0.5) * 2
+    window = sum(w * (-1) ** i * np.cos(i * turn) for i, w in enumerate(WINDOW))
+    return np.where(np.abs(gap) < taps / 2, cut * np.sinc(cut * gap) * window * window, 0.0)
+
+
+@lru_cache(maxsize=8)
+def sinc_table(taps: int, cut: float) -> np.ndarray:
+    """Weights of the taps for each phase, from one before 0 to two after the next sample; a constant stays what it is."""
+    offsets = np.arange(taps) - taps // 2 + 1
+    table = sinc_kernel(np.arange(-1, taps + 2)[:, None] / taps - offsets, taps, cut)
+    return table / table[1:-2].sum(axis=1).mean()
+
+
+def sinc_resample(x: np.ndarray, rate: float = 48_000, to: float = 16_000, block: int = 2048) -> np.ndarray:
+    """Interpolation by a windowed sinc whose weights stand in a table of phases, made once for a ratio.
+
+    The filter's length and the interpolation between phases follow the ratio of the rates; the cutoff lies under the
+    lower of both Nyquist frequencies. Output and input begin together; outside there is silence.
+    """
     if rate == to or not len(x):
         return x
     ratio = to / rate
-    cut = min(1.0, ratio)
-    reach = int(np.ceil(half / cut))
-    where = np.arange(int(len(x) * ratio)) / ratio
-    base = np.floor(where).astype(int)
-    at = base[:, None] + np.arange(-reach + 1, reach + 1)
-    gap = where[:, None] - at
-    weight = cut * np.sinc(cut * gap) * (0.5 + 0.5 * np.cos(np.pi * np.clip(gap / reach, -1, 1)))
-    inside = (at >= 0) & (at < len(x))
-    return (np.where(inside, x[np.clip(at, 0, len(x) - 1)], 0.0) * weight).sum(axis=1)
+    taps, cubic = resample_rule(ratio)
+    table = sinc_table(taps, CUTOFF * min(1.0, ratio))
+    padded = np.concatenate([np.zeros(taps // 2 - 1), x, np.zeros(taps // 2 + 1)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, taps)
+    out = np.empty(int(len(x) * ratio))
+    for first in range(0, len(out), block):
+        where = np.arange(first, min(first + block, len(out))) / ratio
+        base = np.floor(where).astype(int)
+        phase = (where - base) * taps
+        k = np.floor(phase).astype(int)
+        mu = phase - k
+        if cubic:  # through the phases k - 1 to k + 2
+            shares = (-mu * (mu - 1) * (mu - 2) / 6, (mu + 1) * (mu - 1) * (mu - 2) / 2, -(mu + 1) * mu * (mu - 2) / 2, (mu + 1) * mu * (mu - 1) / 6)
+        else:
+            shares = (0 * mu, 1 - mu, mu)
+        weights = sum(share[:, None] * table[k + i] for i, share in enumerate(shares))
+        out[first : first + len(where)] = (rows[base] * weights).sum(axis=1)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def resampled(x: pd.Series, rate: pd.Series, to: pd.Series) -> pd.Series:
+    """Arrays of samples at the rate `to`, each from its own rate."""
+    return pd.Series([None if v is None else sinc_resample(np.asarray(v, dtype=float), r, t) for v, r, t in zip(x, rate, to)])
 
 
 def chunked_resample(x: np.ndarray, rate: int = 48_000, to: int = 16_000, chunk: float = 60.0, overlap: float = 0.1, one=sinc_resample) -> np.ndarray:
@@ -226,30 +280,38 @@ def limiter(x: Column, limit: float = 10 ** (PEAK_DB / 20), rate: int = 48_000)
     return F.slice(late, F.lit(1), F.size(x))
 
 
-def loudness(x: np.ndarray, floor_db: float = -50.0, rate: int = 48_000) -> np.ndarray:
-    """Loudness normalisation as samples come: each gets the gain that the windows before it gave, then the limiter.
+def window_gains(x: np.ndarray, floor_db: float = -50.0, rate: int = 48_000) -> np.ndarray:
+    """The gain after each full window: towards the target loudness of the last three seconds of windows that aren't below the floor.
 
-    After each window that isn't below the floor, the loudness of the last three seconds of such
-    windows (K-weighted; silence before the first) says the gain towards the target.
+    The two filters carry their state from window to window, and of a window only its energy is kept.
     """
     size, short = rate * GATE_MS // 1000, 3 * rate
-    gains, gain, heard, weighted = np.ones(len(x)), 1.0, [], np.zeros(0)
+    shelf, cut, energies = np.zeros(2), np.zeros(2), deque([0.0] * (3000 // GATE_MS), 3000 // GATE_MS)
+    gain, out = 1.0, []
     for start in range(0, len(x) - size + 1, size):
         part = x[start : start + size]
-        gains[start : start + size] = gain
         if np.sqrt(np.mean(part * part)) >= 10 ** (floor_db / 20):
-            heard.append(part)
-            # the filter forgets within a second what it had before, so it runs over the last four
-            recent = np.concatenate(heard[-(short + rate) // size :])
-            weighted = recursive(recursive(recent, *SHELF), *PASS)[-short:]
-            energy = float(np.sum(weighted * weighted)) / short
+            weighted = recursive(recursive(part, *SHELF, carried=shelf), *PASS, carried=cut)
+            energies.append(float(weighted @ weighted))
+            energy = sum(energies) / short
             level = -0.691 + 10 * np.log10(energy) if energy > 0 else -np.inf
             if np.isfinite(level) and level < 0:
                 gain = min(10 ** ((TARGET - level) / 20), 10 ** (MOST_DB / 20))
-    gains[len(x) // size * size :] = gain
-    loud = x * gains
+        out.append(gain)
+    return np.array(out)
+
+
+def loudness(x: np.ndarray, floor_db: float = -50.0, rate: int = 48_000) -> np.ndarray:
+    """Loudness normalisation as samples come: each gets the gain that the windows before it gave, then the limiter."""
+    gains = np.repeat(np.concatenate([[1.0], window_gains(x, floor_db, rate)]), rate * GATE_MS // 1000)[: len(x)]
     limit, late = 10 ** (PEAK_DB / 20), ahead(rate) - 1
-    return np.concatenate([np.zeros(late), np.clip(loud, -limit, limit)])[: len(x)]
+    return np.concatenate([np.zeros(late), np.clip(x * gains, -limit, limit)])[: len(x)]
+
+
+def gain_readout(x: np.ndarray, floor_db: float = -50.0, rate: int = 48_000) -> np.ndarray:
+    """After each full second the mean gain of the last three seconds of windows, in decibel."""
+    each, decibel = 1000 // GATE_MS, 20 * np.log10(window_gains(x, floor_db, rate))
+    return np.array([decibel[max(0, n - 3 * each) : n].mean() for n in range(each, len(decibel) + 1, each)])
 
 
 def spectral_subtraction(x: np.ndarray, noise: float | None = None, window: int = 1600) -> np.ndarray:

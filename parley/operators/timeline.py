@@ -89,12 +89,19 @@ def in_ranges(rows: DataFrame, ranges: DataFrame, family: str, value: str, width
 
 
 def released(chunks: DataFrame, key: str, at: str, kind: str, waits: dict[str, int]) -> DataFrame:
-    """`chunks` with the time of the first chunk of their key that comes at least the wait of their kind later."""
-    out = F.lit(None).cast("long")
-    for name, wait in waits.items():
-        later = F.min(at).over(Window.partitionBy(key).orderBy(at).rangeBetween(wait, Window.unboundedFollowing))
-        out = F.when(F.col(kind) == name, later).otherwise(out)
-    return chunks.withColumn("released", out)
+    """`chunks` with the time of the first chunk of their key that comes at least the wait of their kind later.
+
+    Chunks and deadlines of a key go by once from the latest to the earliest, with the last chunk seen in hand.
+    """
+    wait = F.lit(None).cast("long")
+    for name, least in waits.items():
+        wait = F.when(F.col(kind) == name, F.lit(least)).otherwise(wait)
+    own = [c for c in chunks.columns]
+    marks = F.array(F.struct(F.lit(False).alias("due"), F.col(at).alias("t")), F.struct(F.lit(True).alias("due"), (F.col(at) + wait).alias("t")))
+    rows = chunks.withColumn("_mark", F.explode(marks)).withColumns({"_due": F.col("_mark.due"), "_t": F.col("_mark.t")})
+    falling = Window.partitionBy(key).orderBy(F.col("_t").desc_nulls_last(), "_due").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    poll = F.min(F.when(~F.col("_due"), F.col("_t"))).over(falling)
+    return rows.withColumn("_poll", poll).where("_due").select(*own, F.when(F.col("_t").isNotNull(), F.col("_poll")).alias("released"))
 
 
 def without_repeats(rows: DataFrame, key: str, order: list[str], content: list[str]) -> DataFrame:

@@ -26,8 +26,8 @@ def pairs(spark, d):
 PAIRS = f"pr AS (SELECT a.vec_id // 2 AS w, list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)) AS mic, list_transform(b.embedding, lambda x: CAST(x AS DOUBLE)) AS sys FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0)"
 
 
-def exploded(rows, x, key="vec_id"):
-    return rows.select(key, F.posexplode(x).alias("i", "v")).select(key, F.col("i").cast("long").alias("i"), F.round("v", 6).alias("v"))
+def exploded(rows, x, key="vec_id", places=6):
+    return rows.select(key, F.posexplode(x).alias("i", "v")).select(key, F.col("i").cast("long").alias("i"), F.round("v", places).alias("v"))
 
 
 @query("to_mono", f"SELECT vec_id, CAST(i AS BIGINT) AS i, round((e[CAST(i * 4 + 1 AS INTEGER)] + e[CAST(i * 4 + 2 AS INTEGER)]) / 2, 6) AS v FROM (SELECT vec_id, {D} AS e FROM embeddings), unnest(range(0, 16)) AS r(i)")
@@ -143,9 +143,26 @@ def linear_resample(spark, d):
     return exploded(frames(spark, d), g.each(g.linear_resample)("embedding"))
 
 
-@query("sinc_resample")
+#: The kernel in SQL at a distance {u} in samples: cutoff times sinc times the squared Blackman-Harris window.
+SINC = """(CASE WHEN abs({u}) < taps / 2.0 THEN CASE WHEN abs({u}) < 1e-12 THEN cut ELSE sin(pi() * cut * ({u})) / (pi() * ({u})) END
+  * pow(0.35875 + 0.48829 * cos(2 * pi() * ({u}) / taps) + 0.14128 * cos(4 * pi() * ({u}) / taps) + 0.01168 * cos(6 * pi() * ({u}) / taps), 2) ELSE 0 END)"""
+RATES = ((8_000, 16_000), (32_000, 48_000), (44_100, 48_000), (48_000, 16_000), (48_000, 32_000))
+AT_PHASE = SINC.format(u="(k + {step}) / CAST(taps AS DOUBLE) + base - (j - 1)")
+
+
+@query(
+    "sinc_resample",
+    f"""WITH b(band, rate, dest, taps, cubic) AS (VALUES (0, 8000, 16000, 512, true), (1, 32000, 48000, 384, true), (2, 44100, 48000, 256, false), (3, 48000, 16000, 512, true), (4, 48000, 32000, 384, false)),
+c AS (SELECT *, dest / CAST(rate AS DOUBLE) AS ratio, 0.95 * least(1.0, dest / CAST(rate AS DOUBLE)) AS cut FROM b),
+n AS (SELECT band, sum({SINC.format(u="k / CAST(taps AS DOUBLE) - o")}) / max(taps) AS norm FROM c, unnest(range(0, 512)) AS r(k), unnest(range(-255, 257)) AS q(o) WHERE k < taps AND o > -taps / 2.0 AND o <= taps / 2.0 GROUP BY band),
+w AS (SELECT vec_id, {D} AS e, c.*, i, i / ratio AS place, CAST(floor(i / ratio) AS BIGINT) AS base FROM embeddings JOIN c ON band = vec_id % 5, unnest(range(0, 128)) AS r(i) WHERE i < floor(64 * ratio)),
+p AS (SELECT *, CAST(floor((place - base) * taps) AS BIGINT) AS k, (place - base) * taps - floor((place - base) * taps) AS mu FROM w)
+SELECT vec_id, i, round(sum(e[j] * CASE WHEN cubic THEN {SINC.format(u="place - (j - 1)")} ELSE (1 - mu) * {AT_PHASE.format(step=0)} + mu * {AT_PHASE.format(step=1)} END) / max(norm), 5) AS v FROM p JOIN n USING (band), unnest(range(1, 65)) AS s(j) GROUP BY vec_id, i""",
+)
 def sinc_resample(spark, d):
-    return exploded(frames(spark, d), g.each(g.sinc_resample)("embedding"))
+    """Each band of ratios for a fifth of the frames."""
+    rate, to = (F.element_at(F.array(*(F.lit(r[i]) for r in RATES)), (F.col("vec_id") % len(RATES) + 1).cast("int")) for i in (0, 1))
+    return exploded(frames(spark, d), g.resampled("embedding", rate, to), places=5)
 
 
 @query("limiter", f"WITH s AS (SELECT vec_id, CAST(i AS BIGINT) AS i, e[CAST(i - 6 AS INTEGER)] * 6 AS x FROM (SELECT vec_id, {D} AS e FROM embeddings), unnest(range(0, 64)) AS r(i)) SELECT vec_id, i, round(CASE WHEN i < 7 THEN 0.0 WHEN abs(x) > pow(10, -0.05) THEN sign(x) * pow(10, -0.05) ELSE x END, 6) AS v FROM s")
@@ -169,6 +186,13 @@ def loudness(spark, d):
     return levels(recordings(spark, d), g.each(g.loudness)("samples"))
 
 
+@query("gain_readout")
+def gain_readout(spark, d):
+    """Mean gain by second, at a rate of 3,200 so that a recording has seconds."""
+    gains = recordings(spark, d).select("recording", F.posexplode(g.each(lambda x: g.gain_readout(x, rate=3200))("samples")).alias("second", "gain_db"))
+    return gains.select("recording", "second", F.round("gain_db", 4).alias("gain_db"))
+
+
 @query("chunked_resample")
 def chunked_resample(spark, d):
     """Chunks of a tenth of a second, so that a recording has several."""

@@ -1,6 +1,7 @@
 """Hand-derived cases of text, signal and state functions."""
 
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -285,6 +286,52 @@ def test_spectral_subtraction_of_one_window():
     assert np.allclose(g.spectral_subtraction(np.concatenate([x, x])), g.spectral_subtraction(x)) and len(g.spectral_subtraction(x[:10])) == 1600
 
 
+@pytest.mark.parametrize("rate, to, taps, cubic", [(8, 16, 512, True), (32, 48, 384, True), (44, 48, 256, False), (48, 16, 512, True), (48, 32, 384, False)])
+def test_resampling_like_a_direct_sum(rate, to, taps, cubic):
+    assert g.resample_rule(to / rate) == (taps, cubic)
+    rng, cut = np.random.default_rng(3), 0.95 * min(1, to / rate)
+
+    def kernel(u):
+        w = 0.35875 + 0.48829 * math.cos(2 * math.pi * u / taps) + 0.14128 * math.cos(4 * math.pi * u / taps) + 0.01168 * math.cos(6 * math.pi * u / taps)
+        return (cut if u == 0 else math.sin(math.pi * cut * u) / (math.pi * u)) * w * w if abs(u) < taps / 2 else 0.0
+
+    x = rng.normal(size=700)
+    got = g.sinc_resample(x, rate, to)
+    assert len(got) == int(700 * to / rate)
+    for i in (0, 1, len(got) // 2, len(got) // 2 + 1, len(got) - 1):
+        want = sum(v * kernel(i * rate / to - j) for j, v in enumerate(x))
+        assert abs(got[i] - want) < (1e-6 if cubic else 2e-4)
+    middle = slice(len(got) * 45 // 100, len(got) * 55 // 100)
+    assert np.allclose(g.sinc_resample(np.ones(700), rate, to)[middle], 1, atol=1e-4)
+    assert np.allclose(g.sinc_resample(x, rate, to, block=7), got) and len(g.sinc_resample(x[:0], rate, to)) == 0
+
+
+def test_filter_carries_its_state():
+    x = np.random.default_rng(1).normal(size=1000)
+    want, carried = g.recursive(x, *g.SHELF), np.zeros(2)
+    parts = [g.recursive(x[a:b], *g.SHELF, carried=carried) for a, b in ((0, 1), (1, 2), (2, 300), (300, 301), (301, 301), (301, 1000))]
+    assert np.allclose(np.concatenate(parts), want, atol=1e-12)
+
+
+def test_gain_readout():
+    x = np.random.default_rng(1).normal(scale=0.02, size=48_000 * 5)
+    gains = g.window_gains(x)
+    assert len(gains) == 50 and np.allclose(g.gain_readout(x), [np.mean(20 * np.log10(gains[max(0, 10 * s - 30) : 10 * s])) for s in range(1, 6)])
+    assert len(g.gain_readout(x[:47_999])) == 0 and (g.window_gains(np.zeros(48_000)) == 1).all()
+
+
+def test_released_like_a_loop(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(3), rng.choice(["a", "b", "c"]), rng.randrange(200)) for i in range(300)]
+    waits = {"a": 10, "b": 55}
+    got = timeline.released(spark.createDataFrame(rows, "id long, key long, kind string, at long"), "key", "at", "kind", waits)
+    assert got.columns == ["id", "key", "kind", "at", "released"]
+    for r in got.collect():
+        later = [t for _, k, _, t in rows if k == r.key and r.kind in waits and t >= r["at"] + waits[r.kind]]
+        assert r.released == min(later, default=None)
+    assert got.count() == 300
+
+
 def test_chunked_resample_fades_between_chunks():
     x = np.arange(100.0)
     third = lambda p, rate, to: p[::3]
