@@ -344,23 +344,26 @@ def energy_fallback(samples: Column, speech: Column, least: int = 1600, level: f
     return F.when(F.size(speech) >= least, doubles(speech)).when(loud, doubles(samples)).otherwise(F.array().cast("array<double>"))
 
 
-def split_points(x: np.ndarray, most: int, window: int, radius: int, step: int, quiet: float, lead: int) -> list[tuple[int, int]]:
-    """(start, end) of the parts of a long segment, cut in the middle of the quietest window near each limit.
+def first_cut(x: np.ndarray, most: int, window: int, radius: int, step: int, quiet: float, lead: int) -> int:
+    """Where the first part of samples that are longer than `most` ends: in the middle of the quietest window near that limit.
 
     Where nothing is quiet, the part is `lead` samples longer; the next begins where it ends.
     """
+    starts = np.arange(max(most - radius, lead), min(most + radius, len(x) - window) - window + 1, step)
+    cut, level = most, np.inf
+    if len(starts):
+        squares = np.concatenate([[0.0], np.cumsum(x[: most + radius + window] ** 2)])
+        levels = np.sqrt(np.maximum(squares[starts + window] - squares[starts], 0) / window)
+        best = int(levels.argmin())
+        cut, level = int(starts[best]) + window // 2, float(levels[best])
+    return min(cut + lead, len(x)) if level > quiet else cut
+
+
+def split_points(x: np.ndarray, most: int, window: int, radius: int, step: int, quiet: float, lead: int) -> list[tuple[int, int]]:
+    """(start, end) of the parts of a long segment, each cut by `first_cut`."""
     parts, pos = [], 0
     while len(x) - pos > most:
-        low = max(pos + most - radius, pos + lead)
-        high = min(pos + most + radius, len(x) - window)
-        starts = np.arange(low, high - window + 1, step)
-        cut, level = pos + most, np.inf
-        if len(starts):
-            squares = np.concatenate([[0.0], np.cumsum(x * x)])
-            levels = np.sqrt(np.maximum(squares[starts + window] - squares[starts], 0) / window)
-            best = int(levels.argmin())
-            cut, level = int(starts[best]) + window // 2, float(levels[best])
-        end = min(cut + lead, len(x)) if level > quiet else cut
+        end = pos + first_cut(x[pos:], most, window, radius, step, quiet, lead)
         parts.append((pos, end))
         pos = end
     if pos < len(x):

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from parley.plans import analytics, detection, intake, lifecycle, live, nested, relational, signals, streams, texts  # noqa: F401
+from parley.plans import analytics, detection, flows, intake, lifecycle, live, nested, relational, signals, streams, texts  # noqa: F401
 from parley.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -87,7 +87,7 @@ def accumulate_audio(spark, d):
 def legacy_import(spark, d):
     """A table of an older schema: columns are cast, those missing are null, those unknown go."""
     schema = T.StructType().add("meeting_id", "string").add("title", "string").add("created_at", "timestamp_ntz").add("folder_path", "string")
-    old = read(spark, d, "orders").select(F.col("o_orderkey").alias("meeting_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderdate").alias("created_at"), "o_comment" if "o_comment" in read(spark, d, "orders").columns else "o_custkey")
+    old = read(spark, d, "orders").select(F.col("o_orderkey").alias("meeting_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderdate").alias("created_at"), "o_custkey")
     rows = files.conform(old, schema)
     return rows.select("meeting_id", "title", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), F.col("folder_path").isNull().alias("no_folder"))
 
@@ -101,12 +101,11 @@ UNION ALL SELECT p_brand, f.id, f.n FROM b, f WHERE ends_with(p_brand, '3')""",
 def model_catalogs(spark, d):
     """Catalogues landed as JSON; a provider whose catalogue is empty gets the fallback list."""
     top = F.struct(F.when(F.col("p_size") % 2 == 0, F.col("p_size") * 100).alias("context_length"))
-    model = F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("context_length"), top.alias("top_provider"))
-    listed = F.collect_list(F.when(~F.col("p_brand").endswith("3"), model))
     path = files.scratch_path(spark, "catalogs-json")
-    read(spark, d, "part").groupBy(F.col("p_brand").alias("provider")).agg(listed.alias("data")).write.json(path)
-    fallback = [("small", 4000), ("large", 8000)]
-    return files.catalogs_with_fallback(spark, path, fallback).select("provider", "id", "context_length")
+    parts = read(spark, d, "part").withColumnRenamed("p_brand", "provider")
+    listed = parts.where(~F.col("provider").endswith("3"))
+    listed.select("provider", F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("context_length"), top.alias("top_provider")).write.json(path)
+    return files.catalogs_with_fallback(spark, path, parts, [("small", 4000), ("large", 8000)])
 
 
 @query(

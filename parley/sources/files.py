@@ -134,10 +134,10 @@ def catalog_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("m.id", "m.name", F.coalesce("m.top_provider.context_length", "m.context_length").alias("context_length"))
 
 
-def catalogs_with_fallback(spark: SparkSession, path: str, fallback: list[tuple[str, int]]) -> DataFrame:
-    """(provider, id, context_length) of catalogues as JSON lines; a provider without models gets the fallback list."""
-    schema = "provider string, data array<struct<id:string,name:string,context_length:long,top_provider:struct<context_length:long>>>"
-    own = F.transform("data", lambda m: F.struct(m["id"].alias("id"), F.coalesce(m["top_provider"]["context_length"], m["context_length"]).alias("context_length")))
+def catalogs_with_fallback(spark: SparkSession, path: str, providers: DataFrame, fallback: list[tuple[str, int]]) -> DataFrame:
+    """(provider, id, context_length) of catalogues landed as a JSON line for each model; `providers` without one get the fallback list."""
+    rows = spark.read.schema("provider string, id string, name string, context_length long, top_provider struct<context_length: long>").json(path)
+    own = rows.where("id IS NOT NULL").select("provider", "id", F.coalesce("top_provider.context_length", "context_length").alias("context_length"))
     other = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(n).cast("long").alias("context_length")) for i, n in fallback))
-    rows = spark.read.schema(schema).json(path)
-    return rows.select("provider", F.explode(F.when(F.coalesce(F.size("data"), F.lit(0)) > 0, own).otherwise(other)).alias("m")).select("provider", "m.id", "m.context_length")
+    empty = providers.select("provider").distinct().join(own.select("provider").distinct(), "provider", "left_anti")
+    return own.unionByName(empty.select("provider", F.explode(other).alias("m")).select("provider", "m.id", "m.context_length"))
