@@ -3,8 +3,9 @@
 Confirmed toxic documents are positives, all documents that may teach are unlabelled. A linear
 classifier on the presence of words is trained in numpy on the risk corrected for the class prior:
 pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)); while the second term is below zero its gradient is
-followed upwards, which keeps the classifier from explaining the positives away. The words are those
-whose document frequency differs most between positives and unlabelled, counted by Spark.
+followed upwards, which keeps the classifier from explaining the positives away. The words, and beginnings
+of words, are those whose document frequency differs most between positives and unlabelled, counted by Spark;
+those with small weights are left out and the rest is trained again.
 
 Learning takes at most about `positives` toxic and `unlabelled` of all documents, picked by independent
 hashes (a document may be in both samples; a repeated row counts once), and `words` words; every text
@@ -31,12 +32,18 @@ from parley.llm.langid import id_text_crc
 
 POSITIVES, UNLABELLED, WORDS, FOLDS, THRESHOLD = 3000, 9000, 1024, 5, 0.5
 #: A word's count among positives has to be that many standard deviations above what the unlabelled documents suggest.
-SURE = 6.0
+SURE = 3.0
+#: Letters of the beginnings of words that count as words; weights under this share of the largest are taken for noise.
+STEMS, LEAST_WEIGHT = (4, 5, 7), 0.25
+#: Of the documents that hold a word, the share that is toxic, as far as both samples tell.
+LEAST_SHARE = 0.9
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> set[str]:
-    return set(LETTERS.findall(text.lower()))
+    """The distinct words, and with a star the beginnings of longer ones, which stand for their inflected forms."""
+    words = set(LETTERS.findall(text.lower()))
+    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS))
 
 
 def with_words(docs: DataFrame) -> DataFrame:
@@ -110,7 +117,8 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", positives:
     )
     expected = (F.col("u") + 0.5) * (count_p / max(count_u, 1))
     sure = (F.col("p") - expected) / F.sqrt(expected + 1)
-    top = each.where(sure >= SURE).orderBy(sure.desc(), "word").limit(n_words).select("word").collect()
+    share = prior * (F.col("p") / count_p) / ((F.col("u") + 0.5) / max(count_u, 1))
+    top = each.where((sure >= SURE) & (share >= LEAST_SHARE)).orderBy(sure.desc(), "word").limit(n_words).select("word").collect()
     words = {r["word"]: i for i, r in enumerate(top)}
     if not words:
         return Model({}, np.zeros(0), float(np.log(prior / (1 - prior))))
@@ -120,8 +128,13 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", positives:
     for i, found in enumerate(rows["words"]):
         x[i, [words[w] for w in found]] = 1
     # the unlabelled sample is one of all documents: it holds positives too, in the share that the prior states
-    weights, bias = non_negative_pu(x[rows["positive"].to_numpy(dtype=bool)], x[rows["unlabelled"].to_numpy(dtype=bool)] if count_u else x, prior)
-    return Model(words, weights, bias)
+    x_p, x_u = x[rows["positive"].to_numpy(dtype=bool)], x[rows["unlabelled"].to_numpy(dtype=bool)] if count_u else x
+    weights, bias = non_negative_pu(x_p, x_u, prior)
+    # many small weights would add up in long texts; the large ones are learned again without them
+    large = np.flatnonzero(weights >= max(LEAST_WEIGHT * weights.max(), 0.0))
+    weights, bias = non_negative_pu(np.ascontiguousarray(x_p[:, large]), np.ascontiguousarray(x_u[:, large]), prior)
+    kept = set(large.tolist())
+    return Model({w: n for n, w in enumerate(w for w, i in words.items() if i in kept)}, weights, bias)
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
