@@ -17,7 +17,8 @@ number of shards grows only when shards would hold more than SHARD numbers.
 
 Defined results: vectors that are null, zero, or hold a null or a number that isn't finite take no
 part, neither as queries nor as candidates; vectors are compared with those of their own length
-only; repeated rows (same id and vector) count once; a query with fewer candidates gets all; an
+only; repeated rows (same id and vector) count once; an id on two different vectors asks two queries, each
+with its own ranking, and no row of that id is a candidate for either; a query with fewer candidates gets all; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -305,7 +306,7 @@ def nearest(vectors: DataFrame, k: int = K, beam: int = BEAM, every: int = EVERY
     order = Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")
     hits = hits.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
     hits = stored(hits.join(unique.select(F.col("key").alias("query_key"), "weight"), "query_key"), "hits")
-    mine = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    mine = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     asked = queries.select("query_id", F.col("key").alias("query_key"))
     pairs = join_on_key(asked, hits, "query_key", "weight", n_queries).where("vec_id != query_id")
     return pairs.withColumn("rank", F.row_number().over(mine)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

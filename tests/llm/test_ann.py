@@ -75,6 +75,23 @@ def test_recall_of_a_full_shard():
     assert np.mean([len(set(a) & set(b)) / len(a) for a, b in zip(near.tolist(), found.tolist())]) > 0.9
 
 
+def test_recall_of_twenty_in_a_full_shard():
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(ann.SHARD // 64, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    order, levels = ann.build(x, ann.LINKS, 1)
+    y, q = x[order], x[:100]
+    found = ann.search(q.astype(np.float32), y.astype(np.float32), levels, ann.BEAM)
+    near = np.argsort(-(q @ y.T), axis=1)[:, : ann.K]
+    assert np.mean([len(set(a) & set(b)) / len(a) for a, b in zip(near.tolist(), found.tolist())]) > 0.9
+
+
+def test_an_id_on_two_vectors_asks_two_queries(spark):
+    rows = [(20, [7.0, 0.0], 0), (20, [-3.0, 1.0], 0), *((i, [float(i), 1.0], 0) for i in range(1, 6))]
+    got = [(r["rank"], r.vec_id, r.score) for r in ann.nearest(table(spark, rows)).where("query_id = 20").collect()]
+    assert sorted(got) == sorted([(6 - i, i, 7.0 * i) for i in range(1, 6)] + [(i, i, 1.0 - 3 * i) for i in range(1, 6)])
+
+
 def test_small_graphs_find_all(spark):
     rng = np.random.default_rng(9)
     for n in (1, 2, 3, 70, 130):

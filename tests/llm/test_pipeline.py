@@ -35,6 +35,26 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert (pieces.groupby("doc_id").length.sum() == pieces.groupby("doc_id").doc_tokens.first()).all()
 
 
+def test_null_ids_long_texts_and_clashing_columns_go_through_all_stages(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    long, twin, copy = text(300_000), text(200), text(80)
+    rows = [(i, text(100)) for i in range(60)] + [(None, text(50)), (None, text(60)), (100, long), (101, twin), (102, twin + " more"), (103, copy), (104, copy.upper()), (103, copy), (None, copy)]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t), "d", 1, 2.0, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, digest string, keep_key int, score double, row_key string")
+    docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = common.stored(stage(spark, now, str(tmp_path)), name)
+        assert now.columns == docs.columns, name
+    left = [(r.doc_id, r.text) for r in now.collect()]
+    want = [r for r in rows[:62]] + [(100, long), (101, twin), (104, copy.upper())]
+    assert sorted(left, key=str) == sorted(want, key=str)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).toPandas()
+    assert pieces.length.sum() == pieces.drop_duplicates(["doc_id", "doc_tokens"]).doc_tokens.sum() or pieces.doc_id.isna().any()
+    assert set(pieces.doc_id.dropna()) == {i for i, _ in want if i is not None}
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
