@@ -28,7 +28,15 @@ def vad_sessionize(spark, d):
     return rows.where("on").groupBy("user_id", "segment").agg(F.count(F.lit(1)).alias("frames"), F.when(F.bool_or("final"), 0.8).otherwise(0.9).alias("confidence"))
 
 
-@query("detector_fsm")
+@query(
+    "detector_fsm",
+    """WITH r AS (SELECT user_id, event_id, epoch(ts) AS moment, event_type IN ('view', 'click') AS titled, event_type <> 'error' AS connected FROM events),
+i AS (SELECT *, count(*) FILTER (connected) OVER (PARTITION BY user_id ORDER BY moment, event_id ROWS UNBOUNDED PRECEDING) AS island FROM r),
+l AS (SELECT *, min(moment) FILTER (NOT connected) OVER (PARTITION BY user_id, island) AS lost FROM i),
+s AS (SELECT user_id, event_id, moment, connected FROM l WHERE (connected AND titled AND user_id % 10 <> 0) OR (NOT connected AND moment - lost >= 10)),
+b AS (SELECT *, lag(connected) OVER (PARTITION BY user_id ORDER BY moment, event_id) AS before FROM s)
+SELECT user_id AS key, moment AS "at", CASE WHEN connected THEN 'detected' ELSE 'ended' END AS event FROM b WHERE (connected AND before IS NOT TRUE) OR (NOT connected AND before)""",
+)
 def detector_fsm(spark, d):
     """Meeting edges for each user: views and clicks have a window title, everything but errors a connection."""
     at = timeline.seconds(F.col("ts"))
