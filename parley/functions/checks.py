@@ -17,6 +17,7 @@ def is_blank(c: Column) -> Column:
     return F.coalesce(trimmed(c), F.lit("")) == ""
 
 
+# The messages below are fixed values.
 def transcript_problem(meeting_id: Column, text: Column, size: Column, overlap: Column, most: int = MOST_CHARS) -> Column:
     return (
         F.when(is_blank(meeting_id), "meeting_id cannot be empty")

@@ -218,9 +218,13 @@ def format_prompt(name: Column, templates: dict[str, str], system: Column, user:
     return prompt, F.when(~name.isin(*templates), F.concat(F.lit("Unknown template: "), name))
 
 
+#: White space between subword tokens and what of it stays (fixed value).
+TOKEN_SPACE = r"(?U)\A\s|\s\B|(\s)\b"
+
+
 def join_tokens(tokens: Column) -> Column:
     """Subword tokens put together; white space stays, as one space, where a word follows it and not at the start."""
-    return F.regexp_replace(F.array_join(tokens, ""), r"(?U)\A\s|\s\B|(\s)\b", "$1")
+    return F.regexp_replace(F.array_join(tokens, ""), TOKEN_SPACE, "$1")
 
 
 def collapsed_older(ws: list[str]) -> list[str]:

@@ -10,7 +10,7 @@ from parley.operators import batches, timeline
 from parley.plans.registry import query
 from parley.sources import files, sinks
 from parley.sources.tables import MEETINGS, SEGMENTS, meetings, read, segments
-from parley.streaming import ordered, progress
+from parley.streaming import inference, ordered, progress
 
 
 def named_segments(spark, d):
@@ -101,3 +101,32 @@ def stream_progress(spark, d):
     heard = progress.observed(spark, streams, f"{base}/state").groupBy("stage").agg(F.sum("rows").alias("n"), (F.count(F.lit(1)) >= 3).alias("several"))
     percent = F.col("n") * 100 / F.element_at(F.create_map(*(F.lit(x) for kv in total.items() for x in kv)), F.col("stage"))
     return heard.withColumn("progress", timeline.overall_progress(F.col("stage"), percent, {"vad": (20, 30), "transcribing": (30, 95)}))
+
+
+@query(
+    "processed_jobs",
+    """WITH j AS (SELECT user_id % 16 AS queue, event_id AS entry, value FROM events WHERE event_type IN ('signup', 'click'))
+SELECT queue, entry, 'transcribing' AS phase, CASE WHEN value < 20 THEN 'chained' WHEN value < 60 THEN 'completed' WHEN value < 80 THEN 'yielded' ELSE 'failed' END AS result, CASE WHEN value >= 80 THEN 'too long' END AS problem FROM j
+UNION ALL SELECT queue, entry, 'summarising', CASE WHEN value < 10 THEN 'completed' ELSE 'failed' END, CASE WHEN value >= 10 THEN 'no model' END FROM j WHERE value < 20""",
+)
+def processed_jobs(spark, d):
+    """Jobs of sixteen queues go through two processors, of which each fails on some."""
+
+    def transcriber():
+        def process(job):
+            if job["value"] >= 80:
+                raise RuntimeError("too long")
+            return "chained" if job["value"] < 20 else "completed" if job["value"] < 60 else "yielded"
+
+        return process
+
+    def summariser():
+        def process(job):
+            if job["value"] >= 10:
+                raise RuntimeError("no model")
+            return "completed"
+
+        return process
+
+    jobs = read(spark, d, "events").where("event_type IN ('signup', 'click')").select((F.col("user_id") % 16).alias("queue"), F.col("event_id").alias("entry"), "value")
+    return inference.process_jobs(jobs, transcriber, summariser)

@@ -14,6 +14,38 @@ from parley.functions.text import boundary_chunks, clean_markdown, first_title,
 Transcriber = Callable[[list[float]], tuple[str, float, bool]]
 #: (system prompt, user prompt) -> text
 Generator = Callable[[str, str], str]
+#: job (a dict of its columns) -> 'completed', 'chained', 'yielded' or 'failed'
+JobProcessor = Callable[[dict], str]
+RESULTS = ("completed", "chained", "yielded", "failed")
+
+
+def process_jobs(jobs: DataFrame, make: Callable[[], JobProcessor], make_summary: Callable[[], JobProcessor] | None = None) -> DataFrame:
+    """(queue, entry, phase, result, problem) of jobs (queue, entry, ...): a queue has one worker, which takes its jobs in the order of entry.
+
+    A chained job goes on with the summary processor in its slot, before later jobs; without one it is completed.
+    What a processor raises makes its job failed, with the message as the problem; the queue goes on.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        phases = [("transcribing", make()), *([("summarising", make_summary())] if make_summary else [])]
+        for batch in batches:
+            out = []
+            for job in batch.to_dict("records"):
+                for n, (phase, process) in enumerate(phases):
+                    try:
+                        result, problem = process(job), None
+                        if result not in RESULTS:
+                            raise ValueError(f"no such result: {result}")
+                    except Exception as e:  # one job may fail; the row says so
+                        result, problem = "failed", str(e)[:1000]
+                    goes_on = result == "chained" and n + 1 < len(phases)
+                    out.append((job["queue"], job["entry"], phase, "completed" if result == "chained" and not goes_on else result, problem))
+                    if not goes_on:
+                        break
+            yield pd.DataFrame(out, columns=["queue", "entry", "phase", "result", "problem"])
+
+    ordered = jobs.repartition("queue").sortWithinPartitions("queue", "entry")
+    return ordered.mapInPandas(run, "queue long, entry long, phase string, result string, problem string")
 
 
 def transcribe(segments: DataFrame, make: Callable[[], Transcriber], samples: str = "samples") -> DataFrame:

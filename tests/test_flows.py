@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from parley.functions.signal import split_points
 from parley.operators import batches
 from parley.sources import sinks
-from parley.streaming import ordered, progress
+from parley.streaming import inference, ordered, progress
 
 
 def test_files_are_as_the_rows(spark, tmp_path):
@@ -84,3 +84,20 @@ def test_progress_of_micro_batches(spark, tmp_path):
     heard = progress.observed(spark, {"one": stream}, f"{tmp_path}/state").collect()
     assert [(r.stage, r["rows"]) for r in heard] == [("one", 100)]
     assert progress.observed(spark, {"one": stream}, f"{tmp_path}/state").count() == 0  # nothing new
+
+
+def test_jobs_go_in_order_and_a_failure_stops_no_queue(spark):
+    jobs = spark.createDataFrame([(1, 3, "a"), (1, 1, "chained"), (1, 2, "bad"), (2, 1, "chained"), (1, 4, "yielded")], "queue long, entry long, kind string").repartition(3)
+
+    def make():
+        def process(job):
+            if job["kind"] == "a":
+                raise RuntimeError("lost")
+            return job["kind"]
+
+        return process
+
+    summary = lambda: lambda job: "completed"
+    got = [tuple(r) for r in inference.process_jobs(jobs, make, summary).where("queue = 1").collect()]
+    assert got == [(1, 1, "transcribing", "chained", None), (1, 1, "summarising", "completed", None), (1, 2, "transcribing", "failed", "no such result: bad"), (1, 3, "transcribing", "failed", "lost"), (1, 4, "transcribing", "yielded", None)]
+    assert [r.result for r in inference.process_jobs(jobs, make).where("queue = 2").collect()] == ["completed"]
