@@ -199,7 +199,15 @@ def chunked_resample(spark, d):
     return levels(recordings(spark, d), g.each(lambda x: g.chunked_resample(x, chunk=0.1, overlap=0.01))("samples"))
 
 
-@query("spectral_subtraction")
+@query(
+    "spectral_subtraction",
+    f"""WITH s AS (SELECT vec_id // 20 AS recording, row_number() OVER (PARTITION BY vec_id // 20 ORDER BY vec_id, k) - 1 AS i, CAST(embedding[CAST(k AS INTEGER)] AS DOUBLE) AS v FROM embeddings, unnest(range(1, 65)) AS r(k)),
+m AS (SELECT recording, avg(v * v) AS noise FROM s GROUP BY recording),
+f AS (SELECT recording, k, sum(v * cos(2 * pi() * (i * k % 1600) / 1600)) AS re, -sum(v * sin(2 * pi() * (i * k % 1600) / 1600)) AS im FROM s, unnest(range(0, 801)) AS q(k) WHERE i < 1600 GROUP BY recording, k),
+g AS (SELECT recording, k, re * share * side AS re, im * share * side AS im FROM (SELECT f.*, sqrt(greatest(1 - noise / nullif(re * re + im * im, 0), 0)) AS share, CASE WHEN k IN (0, 800) THEN 1 ELSE 2 END AS side FROM f JOIN m USING (recording))),
+y AS (SELECT recording, i, sum(re * cos(2 * pi() * (i * k % 1600) / 1600) - im * sin(2 * pi() * (i * k % 1600) / 1600)) AS v FROM g, unnest(range(0, 1600)) AS q(i) GROUP BY recording, i)
+SELECT recording, count(*) AS n, round(sqrt(avg(v * v)), 6) AS rms, round(max(abs(v)), 6) AS peak FROM y GROUP BY recording""",
+)
 def spectral_subtraction(spark, d):
     return levels(recordings(spark, d, 20), g.each(g.spectral_subtraction)("samples"))
 
@@ -223,7 +231,14 @@ def long_enough(spark, d):
     return rows.where(F.size("s") >= 16).select("vec_id", "recording")
 
 
-@query("split_at_silence")
+@query(
+    "split_at_silence",
+    f"""WITH RECURSIVE x AS MATERIALIZED (SELECT vec_id, {D} AS e, len(embedding) AS n FROM embeddings),
+t AS (SELECT vec_id, CAST(-1 AS BIGINT) AS part, CAST(0 AS BIGINT) AS "start", CAST(0 AS BIGINT) AS "end" FROM x WHERE n > 0
+UNION ALL SELECT vec_id, part + 1, pos, CASE WHEN n - pos <= 25 THEN n WHEN len(l) = 0 THEN least(pos + 29, n) WHEN list_min(l) > 0.05 THEN least(pos + 24 + list_position(l, list_min(l)), n) ELSE pos + 20 + list_position(l, list_min(l)) END
+FROM (SELECT t.vec_id, t.part, t."end" AS pos, n, list_transform(range(19, least(31, n - t."end" - 4) - 3), lambda s: round(sqrt(list_sum(list_transform(e[t."end" + s + 1:t."end" + s + 4], lambda v: v * v)) / 4), 12)) AS l FROM t JOIN x USING (vec_id) WHERE t."end" < n))
+SELECT vec_id, part, "start", "end" FROM t WHERE part >= 0""",
+)
 def split_at_silence(spark, d):
     rows = frames(spark, d).select("vec_id", F.posexplode(g.split_at_silence("embedding")).alias("part", "p"))
     return rows.select("vec_id", F.col("part").cast("long").alias("part"), "p.start", "p.end")

@@ -47,7 +47,16 @@ def detector_fsm(spark, d):
     return processors.detect_batch(rows)
 
 
-@query("reorder_buffer")
+@query(
+    "reorder_buffer",
+    """WITH RECURSIVE r AS MATERIALIZED (SELECT l_orderkey AS key, CAST(l_linenumber - 1 AS BIGINT) AS id, CAST(l_extendedprice AS DOUBLE) / 1e6 AS moment, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber) AS n FROM lineitem),
+t AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS moment, CAST([] AS STRUCT(id BIGINT, moment DOUBLE)[]) AS held, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS following FROM r
+UNION ALL SELECT key, n, moment, h, coalesce(b[1], len(h) + 1) - 1, CASE WHEN coalesce(b[1], len(h) + 1) > 1 THEN h[coalesce(b[1], len(h) + 1) - 1].id + 1 ELSE following END
+FROM (SELECT *, list_filter(range(1, len(h) + 1), lambda p: NOT (h[p].id = CASE WHEN p = 1 THEN following ELSE h[p - 1].id + 1 END OR moment - h[p].moment > 0.1)) AS b
+FROM (SELECT r.key, r.n, r.moment, following, list_sort(CASE WHEN r.id >= following AND NOT list_contains(list_transform(held[k + 1:], lambda x: x.id), r.id) THEN list_append(held[k + 1:], {'id': r.id, 'moment': r.moment}) ELSE held[k + 1:] END) AS h FROM t JOIN r ON r.key = t.key AND r.n = t.n + 1))),
+o AS (SELECT key, n, moment, unnest(held[1:k]).id AS id FROM t WHERE n > 0 UNION ALL SELECT key, n + 1, moment, unnest(held[k + 1:]).id FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1))
+SELECT key, id, moment AS "at", row_number() OVER (PARTITION BY key ORDER BY n, id) - 1 AS pos FROM o""",
+)
 def reorder_buffer(spark, d):
     """Lines of an order come in the order of their price; the buffer releases them by number."""
     rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), (F.col("l_linenumber") - 1).cast("long").alias("id"), (F.col("l_extendedprice") / 1e6).alias("at"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as t
 from parley.functions.devices import is_meeting_title
+from parley.plans import greedy
 from parley.plans.registry import query
 from parley.sources.tables import SEGMENTS, read, segments
 
@@ -13,6 +14,11 @@ WS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
 TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
 
+#: Junk of recognisers, and a word as overlaps compare it, in SQL.
+JUNK = "(regexp_matches(lower(text), 'thank you for watching|thanks for watching|like and subscribe|music playing|applause|laughter|um um um|uh uh uh|ah ah ah') OR (len(list_distinct(string_split(text, ''))) <= 3 AND strlen(text) > 10))"
+BARE = r"""translate(lower({0}), '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', '')"""
+
+
 def docs(spark, d):
     return read(spark, d, "documents").select("doc_id", "text")
 
@@ -94,6 +100,8 @@ def remove_fillers(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", t.remove_fillers(text).alias("cleaned"))
 
 
+#: Spaces before marks and after the ends of sentences, in SQL.
+MARKS = "replace(replace(replace(replace(replace(replace(replace({0}, ' .', '.'), ' ,', ','), ' ?', '?'), ' !', '!'), '.  ', '. '), '?  ', '? '), '!  ', '! ')"
 RAW = TRIM.format("'  ' || replace(text, '. ', ' .   ')")
 
 
@@ -213,24 +221,51 @@ def prompt_assembly(spark, d):
     return rows.select("conv_id", F.concat(F.lit("system: summarise\n"), F.array_join(F.transform("l", lambda s: s["part"]), "\n---\n")).alias("prompt"))
 
 
-@query("phrase_collapse")
+@query(
+    "phrase_collapse",
+    f"""WITH RECURSIVE s AS MATERIALIZED (SELECT doc_id AS id, {WS} AS w FROM documents), {greedy.phrases("s")}
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(array_to_string(w, ' '), '') END AS cleaned FROM documents LEFT JOIN kept ON id = doc_id""",
+)
 def phrase_collapse(spark, d):
     return docs(spark, d).select("doc_id", t.collapse_phrases("text").alias("cleaned"))
 
 
-@query("clean_repetitive")
+@query(
+    "clean_repetitive",
+    f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id AS id, {WS} AS w FROM documents), s AS MATERIALIZED (SELECT id, [w[i] for i in range(1, len(w) + 1) if i = 1 OR w[i] <> w[i - 1]] AS w FROM d), {greedy.phrases("s")}
+SELECT doc_id, CASE WHEN {JUNK} THEN '' WHEN len(d.w) < 3 THEN text
+  WHEN len(kept.w) >= 4 AND CAST(len(kept.w) - len(list_distinct(list_transform(kept.w, lambda x: lower(x)))) AS DOUBLE) / len(kept.w) > 0.7 THEN '' ELSE array_to_string(kept.w, ' ') END AS cleaned
+FROM documents JOIN d ON d.id = doc_id LEFT JOIN kept ON kept.id = doc_id""",
+)
 def clean_repetitive(spark, d):
     return docs(spark, d).select("doc_id", t.clean_repetitive("text").alias("cleaned"))
 
 
-@query("overlap_stitch")
+@query(
+    "overlap_stitch",
+    f"""WITH s AS MATERIALIZED (SELECT row_number() OVER () AS id, x.conv_id, x.turn, x.text AS one, y.text AS two FROM conversations x JOIN conversations y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1),
+l AS MATERIALIZED (SELECT id, conv_id, turn, one, two, {WS.replace("text", "one")} AS a, {WS.replace("text", "two")} AS b FROM s),
+u AS (SELECT id, i, {BARE.format("a[i]")} AS x FROM l, unnest(range(1, len(a) + 1)) AS r(i)), v AS (SELECT id, j, {BARE.format("b[j]")} AS x FROM l, unnest(range(1, len(b) + 1)) AS r(j)),
+m AS (SELECT id, i, j, i - row_number() OVER (PARTITION BY id, i - j ORDER BY i) AS island FROM u JOIN v USING (id, x)),
+c AS (SELECT id, min(i) AS i, min(j) AS j, count(*) AS n FROM m GROUP BY id, i - j, island),
+best AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, i, j) = 1)
+SELECT conv_id, turn, CASE WHEN one IS NOT NULL AND two IS NOT NULL THEN array_to_string(list_concat(CASE WHEN best.id IS NULL THEN a WHEN i > 1 THEN a[1:i - 1] ELSE [] END, CASE WHEN best.id IS NULL THEN b ELSE b[j:len(b)] END), ' ') END AS stitched
+FROM l LEFT JOIN best USING (id)""",
+)
 def overlap_stitch(spark, d):
     a = read(spark, d, "conversations").select("conv_id", "turn", "text")
     b = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", t.stitch("text", "next").alias("stitched"))
 
 
-@query("post_process")
+@query(
+    "post_process",
+    rf"""WITH RECURSIVE o AS MATERIALIZED (SELECT row_number() OVER () AS id, conv_id, turn, 'um so so we dont we dont ' || text AS text FROM conversations),
+s AS MATERIALIZED (SELECT id, {WS} AS w FROM o), {greedy.older("s")},
+c AS (SELECT id, array_to_string(list_filter(w, lambda w: NOT list_contains(['uh','um','er','ah','oh','hm','hmm','uhh','umm','err','ahh','ohh'], regexp_replace(lower(w), '^[^\p{{L}}]+|[^\p{{L}}]+$', '', 'g'))), ' ') AS t FROM kept),
+a AS (SELECT id, {MARKS.format(TRIM.format("t"))} AS t FROM c), b AS (SELECT id, upper(substring(t, 1, 1)) || substring(t, 2) AS t FROM a)
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN t ELSE {_contractions("t")} END AS processed, CASE WHEN text IS NULL THEN 0.5 WHEN turn % 2 = 0 THEN 0.8 ELSE 0.95 END AS confidence FROM o LEFT JOIN b USING (id)""",
+)
 def post_process(spark, d):
     """Conversation turns with stutters; every other one is a partial result."""
     text = F.concat(F.lit("um so so we dont we dont "), "text")
@@ -238,12 +273,19 @@ def post_process(spark, d):
     return rows.select("conv_id", "turn", F.col("p.text").alias("processed"), "p.confidence")
 
 
-@query("collapse_older")
+@query(
+    "collapse_older",
+    f"""WITH RECURSIVE s AS MATERIALIZED (SELECT doc_id AS id, {WS} AS w FROM documents), {greedy.older("s")}
+SELECT doc_id, CASE WHEN len(s.w) < 4 THEN text ELSE array_to_string(kept.w, ' ') END AS cleaned FROM documents JOIN s ON s.id = doc_id LEFT JOIN kept ON kept.id = doc_id""",
+)
 def collapse_older(spark, d):
     return docs(spark, d).select("doc_id", t.collapse_older("text").alias("cleaned"))
 
 
-@query("join_tokens")
+@query(
+    "join_tokens",
+    rf"WITH w AS (SELECT doc_id, text, {WS} AS w FROM documents) SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(list_transform(w, lambda x, i: CASE WHEN i > 1 AND regexp_matches(x, '^[\p{{L}}\p{{M}}\p{{N}}_]') THEN ' ' ELSE '' END || x), '') END AS joined FROM w",
+)
 def join_tokens(spark, d):
     """Words of documents in tokens of four characters, each word with the space before it."""
     tokens = F.flatten(F.transform(t.words("text"), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1, F.lit(4)), lambda i: F.substring(F.concat(F.lit(" "), w), i, F.lit(4)))))
