@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.functions.text import contains_literal, snippet
+from parley.functions.text import contains_literal, let, snippet
 
 
 def search_segments(meetings: DataFrame, segments: DataFrame, term: str) -> DataFrame:
@@ -38,3 +38,75 @@ def latest(rows: DataFrame, key: str, *by: str) -> DataFrame:
     """The last row of each key, by aggregation: no sort, and combined before the exchange."""
     rest = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*by)).alias("r")).select(key, "r.*")
+
+
+#: Words of a key at most, and characters of a word that a phrase may cut at its ends.
+KEY_WORDS, EDGE = 8, 3
+
+
+def _cut_keys(ws: Column, words: int) -> Column:
+    """Keys of every run of `words` words (one to three) whose first may be cut at its front and whose last at its end."""
+    lengths = F.sequence(F.lit(0), F.lit(EDGE))
+    flat = lambda array, f: F.flatten(F.transform(array, f))
+    if words == 1:
+        inside = lambda w, n: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))
+        fits = lambda w: F.filter(lengths, lambda n: n <= F.length(w))
+        return flat(F.array_distinct(ws), lambda w: F.array_distinct(flat(fits(w), lambda n: inside(w, n))))
+    fronts = lambda w: F.transform(F.filter(lengths, lambda n: n <= F.length(w)), lambda n: F.right(w, n))
+    ends = lambda w: F.transform(F.filter(lengths, lambda n: n <= F.length(w)), lambda n: F.left(w, n))
+
+    def at(i: Column) -> Column:
+        first, last, inner = F.get(ws, i - 1), F.get(ws, i + words - 2), F.slice(ws, i + 1, F.lit(words - 2))
+        return flat(fronts(first), lambda a: F.transform(ends(last), lambda b: F.array_join(F.concat(F.array(a), inner, F.array(b)), " ")))
+
+    return flat(_starts(ws, words), at)
+
+
+def _starts(ws: Column, words: int) -> Column:
+    """Where runs of so many words begin, counted from one."""
+    return F.filter(F.sequence(F.lit(1), F.size(ws)), lambda i: i <= F.size(ws) - words + 1)
+
+
+def _cut_key(ws: Column, words: int) -> Column:
+    """The key of a phrase of one to three words."""
+    first, last = F.get(ws, F.lit(0)), F.element_at(ws, -1)
+    if words == 1:
+        return F.left(first, F.lit(EDGE))
+    return F.array_join(F.concat(F.array(F.right(first, F.lit(EDGE))), F.slice(ws, 2, words - 2), F.array(F.left(last, F.lit(EDGE)))), " ")
+
+
+def _inner_keys(ws: Column, words: int) -> Column:
+    """Every run of words that can stand inside a phrase of so many."""
+    return F.transform(_starts(ws, words - 2), lambda i: F.array_join(F.slice(ws, i, words - 2), " "))
+
+
+def _inner_key(ws: Column, words: int) -> Column:
+    """The key of a phrase of four words or more: those from the second on."""
+    return F.array_join(F.slice(ws, 2, words - 2), " ")
+
+
+def phrase_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(item_id, doc_id) of documents (doc_id, text) that hold a phrase (item_id, phrase), which may cut words at its ends.
+
+    Words inside a phrase are whole words of the document, so up to eight of them, from the second on, are the key of a
+    join on a hash. A phrase of at most three words has as its key what is inside and up to three characters of its cut
+    words. Only the lengths that occur among the phrases, ten at most, are asked for in documents. Candidates are then
+    looked at in whole texts. A phrase of white space only, or none, is found as well; null texts and phrases are not.
+    """
+    split = lambda c: F.split(F.col(c), r"\s+")
+    most = KEY_WORDS + 2
+    sized = phrases.withColumn("words", F.least(F.size(split("phrase")), F.lit(most))).where("phrase IS NOT NULL")
+    lengths = sorted(r.words for r in sized.select("words").distinct().collect())
+    hashed = lambda keys: F.transform(F.array_distinct(keys), lambda k: F.xxhash64(k))
+    pairs = None
+    for m in lengths:
+        keys, own = (_cut_keys, _cut_key) if m <= 3 else (_inner_keys, _inner_key)
+        wanted = sized.where(F.col("words") == m).select("item_id", F.xxhash64(let(split("phrase"), lambda ws: own(ws, m))).alias("key")).distinct()
+        keyed = docs.select("doc_id", F.explode(hashed(let(split("text"), lambda ws: keys(ws, m)))).alias("key"))
+        found = keyed.join(wanted, "key").select("item_id", "doc_id")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    if pairs is None:
+        return phrases.select("item_id").join(docs.select("doc_id"), F.lit(False))
+    pairs = pairs.distinct().select(F.col("item_id").alias("_item"), F.col("doc_id").alias("_doc"))
+    near = pairs.join(phrases, F.col("_item").eqNullSafe(F.col("item_id"))).join(docs, F.col("_doc").eqNullSafe(F.col("doc_id")))
+    return near.where(F.contains("text", "phrase")).select("item_id", "doc_id")

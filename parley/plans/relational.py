@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parley.functions.text import contains_literal, let, snippet, word_count
-from parley.operators.search import first_per, page, search_segments, search_with_fallback
+from parley.functions.text import contains_literal, snippet
+from parley.operators.search import first_per, page, phrase_hits, search_segments, search_with_fallback
 from parley.plans.registry import query
 from parley.sources.tables import MEETINGS, SEGMENTS, meetings, read, segments
 
 TERM, FULL_TERM = "the", "tion"
 TS = "yyyy-MM-dd HH:mm:ss"
-#: Short phrases that are broadcast at once.
-BLOCK = 10_000
 SNIPPET = """(CASE WHEN greatest(hit - 100, 1) > 1 THEN '...' ELSE '' END) || substring(text, greatest(hit - 100, 1), least(hit + {n} - 1 + 100, length(text)) - greatest(hit - 100, 1) + 1)
   || (CASE WHEN least(hit + {n} - 1 + 100, length(text)) < length(text) THEN '...' ELSE '' END)"""
 
@@ -184,21 +182,17 @@ def ordered_reassembly(spark, d):
 
 @query("phrase_containment", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def phrase_containment(spark, d):
-    """Documents that hold a search phrase whole: the first eight words of a phrase, as a key, lead to candidates."""
-    n = 8
-    docs, phrases = read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "benchmark").select("item_id", F.col("text").alias("phrase"))
-    each = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(c, i, n), " ")))
-    split = lambda c: F.split(F.col(c), r"\s+")
-    grams = lambda c: let(split(c), each)
-    keyed = docs.select("doc_id", F.explode(F.array_distinct(grams("text"))).alias("key"))
-    # the first and last word of a phrase may be part of longer words in a document, so its key starts at the second word
-    wanted = phrases.select("item_id", F.xxhash64(F.array_join(F.slice(split("phrase"), 2, n), " ")).alias("key"), F.size(split("phrase")).alias("words"))
-    found = keyed.join(wanted.where(F.col("words") > n + 1), "key").select("item_id", "doc_id").distinct()
-    checked = found.join(phrases, "item_id").join(docs, "doc_id").where(F.contains("text", "phrase")).select("item_id", "doc_id")
-    # phrases of fewer words are looked for one by one, in blocks of bounded size
-    short = phrases.where(word_count("phrase") <= n + 1)
-    blocks = -(-short.count() // BLOCK)
-    for b in range(blocks):
-        part = F.broadcast(short.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b))
-        checked = checked.union(docs.join(part, F.contains("text", "phrase")).select("item_id", "doc_id"))
-    return checked
+    """Documents that hold a search phrase whole."""
+    return phrase_hits(read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "benchmark").select("item_id", F.col("text").alias("phrase")))
+
+
+#: Phrases of all lengths from the turns themselves: three to a dozen words, cut within words at both ends.
+CUT_PHRASES = "SELECT conv_id * 1000 + turn AS item_id, substring(text, CAST(3 + turn AS INTEGER), CAST(12 + 4 * (conv_id % 12) AS INTEGER)) AS phrase FROM conversations WHERE turn % 3 = 0"
+
+
+@query("quoted_turns", f"WITH p AS ({CUT_PHRASES}), c AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations WHERE turn IS NOT NULL) SELECT p.item_id, c.doc_id FROM p JOIN c ON contains(c.text, p.phrase)")
+def quoted_turns(spark, d):
+    """Turns that hold a passage of another turn, one that may begin and end within words."""
+    turns = read(spark, d, "conversations").where("turn IS NOT NULL").select(F.expr("conv_id * 1000 + turn").alias("doc_id"), "turn", "conv_id", "text")
+    cut = F.substring("text", (F.col("turn") + 3).cast("int"), (F.col("conv_id") % 12 * 4 + 12).cast("int"))
+    return phrase_hits(turns.select("doc_id", "text"), turns.where("turn % 3 = 0").select(F.col("doc_id").alias("item_id"), cut.alias("phrase")))

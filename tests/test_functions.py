@@ -428,3 +428,24 @@ def test_stitched_like_a_search_of_every_place():
         x, y = ([str(w) for w in rng.integers(0, 4, rng.integers(0, 12))] for _ in range(2))
         got, want = t.stitched(" ".join(x), " ".join(y)), plain_stitched(x, y)
         assert got == want or len(got.split()) == len(want.split()), (x, y)
+
+
+def test_phrase_hits(spark):
+    rng = random.Random(5)
+    letters = "ab"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 5)))
+    texts = [rng.choice(["", " ", "\n"]) + rng.choice([" ", "  ", "\t"]).join(word() for _ in range(rng.randint(1, 14))) for _ in range(120)]
+    docs = [(i, x) for i, x in enumerate(texts)] + [(500, ""), (501, None), (None, texts[0]), (3, texts[3])]
+    phrases = [(i, x[a : a + rng.randint(0, 30)]) for i, x in enumerate(texts) for a in [rng.randrange(len(x))]]
+    phrases += [(900, ""), (901, " "), (902, None), (903, "zzz"), (904, texts[7] + " " + texts[8]), (None, "ab"), (5, "ba")]
+    found = search.phrase_hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(phrases, "item_id long, phrase string"))
+    want = [(p, i) for p, phrase in phrases for i, x in docs if phrase is not None and x is not None and phrase in x]
+    key = lambda r: tuple((v is None, v or 0) for v in r)
+    assert sorted((tuple(r) for r in found.collect()), key=key) == sorted(want, key=key)
+
+
+def test_phrase_hits_of_nothing(spark):
+    none = spark.createDataFrame([], "item_id long, phrase string")
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert search.phrase_hits(docs, none).collect() == []
+    assert search.phrase_hits(docs.limit(0), spark.createDataFrame([(1, "a")], none.schema)).collect() == []
