@@ -23,6 +23,7 @@ and carried through by `keep_first`; very long texts are shingled whole.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -216,10 +217,15 @@ def links_of(sets: DataFrame, width: int, percent: int = PERCENT) -> DataFrame:
     placed = index.join(spread, "gid")
     mixed_keys = placed.groupBy("key").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.min(F.struct("single", "gid", "low")).alias("c")).where("l != h").select("key", F.col("c.low").alias("main"))
     open_rows = stored(placed.join(stored(mixed_keys, "mixed"), "key").withColumn("other", ~((F.col("low") == F.col("main")) & (F.col("high") == F.col("main")))), "open")
-    x, y = open_rows.where("other").alias("x"), open_rows.alias("y")
     apart = (F.col("x.low") != F.col("x.high")) | (F.col("y.low") != F.col("y.high")) | (F.col("x.low") != F.col("y.low"))
-    once = ~F.col("y.other") | (F.col("x.gid") < F.col("y.gid"))
-    groups = x.join(y, "key").where((F.col("x.gid") != F.col("y.gid")) & apart & once & may_link("x", "y", percent)).select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h"))
+    # y is the smaller set of a pair, so it has to hold the shingle early, and its size is at most one band below that of x
+    early = open_rows.where((100 + percent) * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n"))
+    band = F.floor(F.log("n") / ((math.log(100 / percent) or 1.0) * (1 + 1e-9)))
+    x = open_rows.withColumn("band", band).alias("x")
+    y = early.withColumn("band", F.explode(F.array(band, band + 1))).alias("y")
+    ordered = F.struct("y.n", "y.gid") < F.struct("x.n", "x.gid")
+    pick = lambda x, y: x.join(y, ["key", "band"]).where(ordered & apart & may_link("x", "y", percent)).select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h"))
+    groups = pick(x.where("other"), y).union(pick(x.where("NOT other"), y.where("other")))
     groups = groups.union(spread.where("low != high").select("gid", "gid")).distinct()
     left, right = (named.select(F.col("gid").alias(g), F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for g, c in (("g", "b"), ("h", "a")))
     rest = groups.join(left, "g").join(right, "h").where("label_a != label_b").select("a", "b").distinct()

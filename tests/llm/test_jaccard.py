@@ -98,3 +98,16 @@ def test_sets_of_long_and_short_texts():
     many = ["x y z"] * 70_000
     keys, sizes = jaccard.shingle_sets(many)
     assert len(np.unique(keys)) == 1 and (sizes == 1).all()
+
+
+def test_one_template_in_many_texts(spark):
+    """Texts that share most shingles: some link, some miss the similarity by little, in sizes of several bands."""
+    rng = random.Random(7)
+    parts = [[f"p{k}w{i}" for i in range(40)] for k in range(5)]
+    rows = []
+    for i in range(160):
+        w = [x for k in sorted(rng.sample(range(5), rng.choice([1, 3, 4, 5]))) for x in parts[k]]
+        own = [f"own{rng.randrange(30)}x{j}" for j in range(rng.choice([0, 3, 8, 15, 30, 50]))]
+        rows.append((i, " ".join(own + w if rng.random() < 0.5 else w + own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, jaccard.link(docs).collect())) == brute(rows)
