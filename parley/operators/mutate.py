@@ -66,9 +66,12 @@ def error_text(c: str) -> Column:
 
 
 def cascade_delete(tables: dict[str, DataFrame], key: str, gone: DataFrame, parent: str) -> dict[str, DataFrame]:
-    """Each table without the rows of keys in `gone` that the parent table has; children are to be written first."""
-    there = gone.join(tables[parent].select(key), key, "left_semi").select(key).distinct()
-    return {name: rows.join(there, key, "left_anti") for name, rows in tables.items()}
+    """Each table without the rows of keys in `gone` that the parent table has; children are to be written first.
+
+    The keys that go grow with the parent table, so all joins are by sorting: no task holds a hash table of them.
+    """
+    there = gone.join(tables[parent].select(key).hint("merge"), key, "left_semi").select(key).distinct()
+    return {name: rows.join(there.hint("merge"), key, "left_anti") for name, rows in tables.items()}
 
 
 def insert_new(target: DataFrame, rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:

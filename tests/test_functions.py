@@ -449,3 +449,13 @@ def test_phrase_hits_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert search.phrase_hits(docs, none).collect() == []
     assert search.phrase_hits(docs.limit(0), spark.createDataFrame([(1, "a")], none.schema)).collect() == []
+
+
+def test_cascade_delete_holds_no_keys_in_memory(spark):
+    """Small as they are here, the keys that go are neither broadcast nor hashed."""
+    rows = spark.createDataFrame([("a",), ("b",)], "k string")
+    left = mutate.cascade_delete({"p": rows, "c": rows}, "k", spark.createDataFrame([("b",), ("b",)], "k string"), "p")
+    for df in left.values():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert [r.k for r in df.collect()] == ["a"]
