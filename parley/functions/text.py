@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import compress, count, islice
+from operator import eq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -130,7 +133,9 @@ def is_meaningless(c: Column | str) -> Column:
     """One of the phrases, or at most three different characters in over ten bytes."""
     c = col(c)
     phrase = F.lower(c).rlike("|".join(MEANINGLESS))
-    return phrase | ((F.size(F.array_distinct(F.split(c, ""))) <= 3) & (F.octet_length(c) > 10))
+    few = lambda c: F.size(F.array_distinct(F.split(c, ""))) <= 3
+    # nearly all texts have four different characters among the first
+    return phrase | (F.when(few(F.left(c, F.lit(64))), few(c)).otherwise(False) & (F.octet_length(c) > 10))
 
 
 def collapse_repeats(ws: Column) -> Column:
@@ -141,9 +146,12 @@ def collapse_repeats(ws: Column) -> Column:
 
 def repetition_ratio(c: Column | str) -> Column:
     """Share of words that occurred before, in any case; 0 below four words."""
-    ws = words(c)
-    low = F.transform(ws, lambda w: F.lower(w))
-    return F.when(F.size(ws) < 4, 0.0).otherwise((F.size(ws) - F.size(F.array_distinct(low))) / F.size(ws))
+
+    def ratio(ws: Column) -> Column:
+        low = F.transform(ws, lambda w: F.lower(w))
+        return F.when(F.size(ws) < 4, 0.0).otherwise((F.size(ws) - F.size(F.array_distinct(low))) / F.size(ws))
+
+    return let(words(c), ratio)
 
 
 def remove_fillers(c: Column | str) -> Column:
@@ -269,12 +277,17 @@ def collapsed_phrases(ws: list[str]) -> list[str]:
     """Phrases of two to five words that follow themselves are kept once; one pass, no second look."""
     if len(ws) < 4:
         return ws
-    out, i = [], 0
-    while i < len(ws):
-        size = next((n for n in range(2, min(5, (len(ws) - i) // 2) + 1) if ws[i : i + n] == ws[i + n : i + 2 * n]), 0)
-        out += ws[i : i + (size or 1)]
-        i += 2 * size or 1
-    return out
+    # a phrase that follows itself has its first word again so many words later; places without that are not looked at
+    sizes: dict[int, list[int]] = {}
+    for n in range(2, 6):
+        for i in compress(count(), map(eq, ws, islice(ws, n, None))):
+            sizes.setdefault(i, []).append(n)
+    out, done = [], 0
+    for i in sorted(sizes):
+        if i >= done and (size := next((n for n in sizes[i] if i + 2 * n <= len(ws) and ws[i : i + n] == ws[i + n : i + 2 * n]), 0)):
+            out += ws[done : i + size]
+            done = i + 2 * size
+    return out + ws[done:]
 
 
 @F.pandas_udf(T.StringType())
@@ -286,7 +299,7 @@ def collapse_phrases(texts: pd.Series) -> pd.Series:
 def clean_repetitive(c: Column | str) -> Column:
     """Junk becomes ''; under three words nothing changes; repeats go; what still repeats over 70 % becomes ''."""
     c = col(c)
-    short = F.array_join(collapse_repeats(words(c)), " ")
+    short = F.array_join(let(words(c), collapse_repeats), " ")
     done = collapse_phrases(short)
     return F.when(is_meaningless(c), "").when(word_count(c) < 3, c).when(repetition_ratio(done) > 0.7, "").otherwise(done)
 

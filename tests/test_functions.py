@@ -459,3 +459,16 @@ def test_cascade_delete_holds_no_keys_in_memory(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "ShuffledHashJoin" not in plan
         assert [r.k for r in df.collect()] == ["a"]
+
+
+def test_phrase_scan_looks_only_where_a_word_comes_again():
+    """As many slices as words come again near by, not four for each word."""
+    class Words(list):
+        looks = 0
+
+        def __getitem__(self, i):
+            Words.looks += isinstance(i, slice)
+            return list.__getitem__(self, i)
+
+    assert t.collapsed_phrases(Words(str(i) for i in range(1000))) == [str(i) for i in range(1000)] and Words.looks < 10
+    assert t.collapsed_phrases("a b a b a b c d e c d e".split()) == "a b a b c d e".split()
