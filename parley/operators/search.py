@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.functions.text import contains_literal, let, snippet
+from parley.functions.text import contains_literal, snippet
 
 
 def search_segments(meetings: DataFrame, segments: DataFrame, term: str) -> DataFrame:
@@ -40,73 +45,133 @@ def latest(rows: DataFrame, key: str, *by: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*by)).alias("r")).select(key, "r.*")
 
 
-#: Words of a key at most, and characters of a word that a phrase may cut at its ends.
-KEY_WORDS, EDGE = 8, 3
-
-
-def _cut_keys(ws: Column, words: int) -> Column:
-    """Keys of every run of `words` words (one to three) whose first may be cut at its front and whose last at its end."""
-    lengths = F.sequence(F.lit(0), F.lit(EDGE))
-    flat = lambda array, f: F.flatten(F.transform(array, f))
-    if words == 1:
-        inside = lambda w, n: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))
-        fits = lambda w: F.filter(lengths, lambda n: n <= F.length(w))
-        return flat(F.array_distinct(ws), lambda w: F.array_distinct(flat(fits(w), lambda n: inside(w, n))))
-    fronts = lambda w: F.transform(F.filter(lengths, lambda n: n <= F.length(w)), lambda n: F.right(w, n))
-    ends = lambda w: F.transform(F.filter(lengths, lambda n: n <= F.length(w)), lambda n: F.left(w, n))
-
-    def at(i: Column) -> Column:
-        first, last, inner = F.get(ws, i - 1), F.get(ws, i + words - 2), F.slice(ws, i + 1, F.lit(words - 2))
-        return flat(fronts(first), lambda a: F.transform(ends(last), lambda b: F.array_join(F.concat(F.array(a), inner, F.array(b)), " ")))
-
-    return flat(_starts(ws, words), at)
-
+#: What is looked for of a phrase of at least so many bytes: the least of `WINDOW` grams that lie side by side, each of `GRAM` bytes.
+SHAPES = {12: (8, 5), 6: (4, 3), 3: (3, 1), 2: (2, 1), 1: (1, 1)}
+#: Bytes on either side of a gram that are compared with it; bits of the filter; bytes of texts that a task looks at together.
+SIDE, FILTER_BITS, BLOCK = 4, 1 << 24, 1 << 20
+#: Parts in which all documents meet the empty phrases.
+PARTS = 64
+MIXER = np.uint64(0x9E3779B97F4A7C15)
 
-def _starts(ws: Column, words: int) -> Column:
-    """Where runs of so many words begin, counted from one."""
-    return F.filter(F.sequence(F.lit(1), F.size(ws)), lambda i: i <= F.size(ws) - words + 1)
 
+def _grams(texts: pa.Array, least: int, best: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Text number, key, sides and mask of the grams to look for in texts (binary, no nulls), block by block.
 
-def _cut_key(ws: Column, words: int) -> Column:
-    """The key of a phrase of one to three words."""
-    first, last = F.get(ws, F.lit(0)), F.element_at(ws, -1)
-    if words == 1:
-        return F.left(first, F.lit(EDGE))
-    return F.array_join(F.concat(F.array(F.right(first, F.lit(EDGE))), F.slice(ws, 2, words - 2), F.array(F.left(last, F.lit(EDGE)))), " ")
-
-
-def _inner_keys(ws: Column, words: int) -> Column:
-    """Every run of words that can stand inside a phrase of so many."""
-    return F.transform(_starts(ws, words - 2), lambda i: F.array_join(F.slice(ws, i, words - 2), " "))
-
-
-def _inner_key(ws: Column, words: int) -> Column:
-    """The key of a phrase of four words or more: those from the second on."""
-    return F.array_join(F.slice(ws, 2, words - 2), " ")
+    Of each window of grams the one whose mixed bytes are least is taken, so a text takes the grams of every phrase that it
+    holds. The key is these bytes; the sides are the bytes around the gram, the mask has ones where the text has them.
+    With `best` only one gram of each text, that with the most of its sides.
+    """
+    gram, window = SHAPES[least]
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    low, high = int(offsets[0]), int(offsets[-1])
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    span, found = gram + window - 1, []
+    for a in range(low, high - span + 1, BLOCK):
+        piece = data[a : min(a + BLOCK + span - 1, high)]
+        mixed = np.zeros(len(piece) - gram + 1, np.uint64)
+        for j in range(gram):
+            mixed |= piece[j : j + len(mixed)].astype(np.uint64) << np.uint64(8 * j)
+        mixed = (mixed ^ np.uint64(least)) * MIXER
+        mixed ^= mixed >> np.uint64(32)
+        n = len(mixed) - window + 1
+        at, low_one = np.arange(n), mixed[:n].copy()
+        for j in range(1, window):
+            other = mixed[j : j + n]
+            less = other < low_one
+            at[less], low_one[less] = np.flatnonzero(less) + j, other[less]
+        starts = np.arange(a, a + n)
+        text = np.searchsorted(offsets, starts, "right") - 1
+        whole = starts + span <= offsets[text + 1]
+        at, text = at[whole], text[whole]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
+        at, text = at[new], text[new]
+        key, at = mixed[at], at + a
+        if gram <= 2:  # the whole phrase, so once for each text is enough
+            order = np.lexsort((key, text))
+            again = np.r_[False, (np.diff(key[order].view(np.int64)) == 0) & (np.diff(text[order]) == 0)]
+            key, at, text = (c[order[~again]] for c in (key, at, text))
+        sides, mask = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        for j, d in enumerate([*range(-SIDE, 0), *range(gram, gram + SIDE)] if gram > 2 else []):
+            inside = (at + d >= offsets[text]) & (at + d < offsets[text + 1])
+            sides[inside] |= data[at[inside] + d].astype(np.uint64) << np.uint64(8 * j)
+            mask[inside] |= np.uint64(255) << np.uint64(8 * j)
+        out = text, key.view(np.int64), sides.view(np.int64), mask.view(np.int64)
+        if best:
+            found.append(out)
+        else:
+            yield out
+    if found:
+        text, key, sides, mask = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((key, -np.bitwise_count(mask).astype(int), text))
+        first = order[np.unique(text[order], return_index=True)[1]]
+        yield text[first], key[first], sides[first], mask[first]
+
+
+def _slots(key: np.ndarray) -> np.ndarray:
+    return (key.view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def phrase_keys(rows: DataFrame, id: str, text: str, wanted: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """(id, key, sides, mask): of phrases one gram each; of texts all grams of the shapes in `wanted` that pass its filters."""
+    bare = f"{id} {rows.schema[id].dataType.simpleString()}, key long, sides long, mask long"
+
+    def grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+        if wanted is None:
+            size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+            above = None
+            for least in SHAPES:
+                mine = np.flatnonzero((size >= least) & (size < above if above is not None else True))
+                for text, *rest in _grams(texts.take(pa.array(mine)), least, best=True):
+                    yield mine[text], *rest
+                above = least
+            return
+        for least, bits in wanted.items():
+            for out in _grams(texts, least):
+                slot = _slots(out[1])
+                passed = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                yield tuple(c[passed] for c in out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, *rest in grams(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), *map(pa.array, rest)], [id, "key", "sides", "mask"])
+
+    return rows.where(F.col(text).isNotNull()).select(id, F.col(text).cast("binary").alias("text")).mapInArrow(run, bare)
+
+
+def _filters(phrases: DataFrame, keys: DataFrame) -> dict[int, np.ndarray]:
+    """For each shape that occurs among `phrases` the bits that the `keys` of all of them set: 2 MB, however many they are."""
+    size = F.octet_length("phrase")
+    shape = F.coalesce(*(F.when(size >= least, least) for least in SHAPES))
+    shapes = [r[0] for r in phrases.where("phrase <> ''").select(shape).distinct().collect()]
+    slots = keys.select(F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("s"))
+    words = slots.groupBy(F.shiftright("s", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s % 32))")).alias("b")).toArrow()
+    bits = np.zeros(FILTER_BITS // 32, np.uint32)
+    bits[words["w"].to_numpy()] = words["b"].to_numpy()
+    return dict.fromkeys(shapes, bits.view(np.uint8))
 
 
 def phrase_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """(item_id, doc_id) of documents (doc_id, text) that hold a phrase (item_id, phrase), which may cut words at its ends.
 
-    Words inside a phrase are whole words of the document, so up to eight of them, from the second on, are the key of a
-    join on a hash. A phrase of at most three words has as its key what is inside and up to three characters of its cut
-    words. Only the lengths that occur among the phrases, ten at most, are asked for in documents. Candidates are then
-    looked at in whole texts. A phrase of white space only, or none, is found as well; null texts and phrases are not.
+    Texts and phrases meet by a few bytes, whatever their words: of each five grams of eight bytes side by side the least one
+    is a key, so a text has about one for three bytes, and a phrase needs one of its own. Shorter phrases have shorter grams,
+    which texts are asked for only where such phrases occur. A filter of a fixed size, the bits of all phrases' keys, keeps
+    most other keys of texts from the exchange; four bytes on either side of the gram are compared where keys meet, so that
+    a frequent gram makes no candidates by itself. Candidates are then looked at in whole texts. An empty phrase is in every
+    text, which needs no look; null texts and phrases are not found.
     """
-    split = lambda c: F.split(F.col(c), r"\s+")
-    most = KEY_WORDS + 2
-    sized = phrases.withColumn("words", F.least(F.size(split("phrase")), F.lit(most))).where("phrase IS NOT NULL")
-    lengths = sorted(r.words for r in sized.select("words").distinct().collect())
-    hashed = lambda keys: F.transform(F.array_distinct(keys), lambda k: F.xxhash64(k))
-    pairs = None
-    for m in lengths:
-        keys, own = (_cut_keys, _cut_key) if m <= 3 else (_inner_keys, _inner_key)
-        wanted = sized.where(F.col("words") == m).select("item_id", F.xxhash64(let(split("phrase"), lambda ws: own(ws, m))).alias("key")).distinct()
-        keyed = docs.select("doc_id", F.explode(hashed(let(split("text"), lambda ws: keys(ws, m)))).alias("key"))
-        found = keyed.join(wanted, "key").select("item_id", "doc_id")
-        pairs = found if pairs is None else pairs.unionByName(found)
-    if pairs is None:
-        return phrases.select("item_id").join(docs.select("doc_id"), F.lit(False))
-    pairs = pairs.distinct().select(F.col("item_id").alias("_item"), F.col("doc_id").alias("_doc"))
+    part = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part")
+    empty = phrases.where("phrase = ''").select("item_id", part)
+    every = docs.where("text IS NOT NULL").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("_part")).join(empty, "_part").select("item_id", "doc_id")
+    own = phrase_keys(phrases.where("phrase <> ''"), "item_id", "phrase")
+    wanted = _filters(phrases, own)
+    if not wanted:
+        return every
+    theirs = phrase_keys(docs, "doc_id", "text", wanted).select("doc_id", F.col("key").alias("_key"), F.col("sides").alias("_sides"))
+    meet = (F.col("_key") == F.col("key")) & (F.col("_sides").bitwiseAND(F.col("mask")) == F.col("sides"))
+    pairs = theirs.join(own, meet).select(F.col("item_id").alias("_item"), F.col("doc_id").alias("_doc")).distinct()
     near = pairs.join(phrases, F.col("_item").eqNullSafe(F.col("item_id"))).join(docs, F.col("_doc").eqNullSafe(F.col("doc_id")))
-    return near.where(F.contains("text", "phrase")).select("item_id", "doc_id")
+    return near.where(F.contains("text", "phrase")).select("item_id", "doc_id").unionByName(every)

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -444,6 +445,51 @@ def test_phrase_hits(spark):
     assert sorted((tuple(r) for r in found.collect()), key=key) == sorted(want, key=key)
 
 
+def test_phrase_hits_send_few_keys(spark):
+    """With joins that exchange both sides, as they do once phrases are many: fewer rows than a quarter of the bytes."""
+    rng = random.Random(3)
+    text = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(1, 8))) for _ in range(n))
+    docs = [(i, text(100)) for i in range(200)]
+    phrases = [(i, x[5 : 5 + rng.choice([12, 16, 40])]) for i, x in docs] + [(1000 + i, "") for i in range(20)] + [(2000, "é"), (2001, "f "), (2002, "the o"), (2003, "tion ing")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    scala = spark.sparkContext._jsc.sc()
+    sent = lambda: (scala.listenerBus().waitUntilEmpty(), sum(e.shuffleWriteRecords() for e in executors()))[1]
+
+    def executors():
+        found = scala.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return [found.apply(i) for i in range(found.size()) if found.apply(i).stageId() not in old]
+
+    old = set()
+    old = {e.stageId() for e in executors()}
+    try:
+        hits = search.phrase_hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(phrases, "item_id long, phrase string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = sorted((p, i) for p, phrase in phrases for i, x in docs if phrase in x)
+    assert sorted(map(tuple, hits)) == want
+    assert sent() < sum(len(x) for _, x in docs) / 4
+
+
+def test_phrase_hits_across_blocks(spark, monkeypatch):
+    """Texts are longer than what is looked at together, and phrases lie across its bounds."""
+    monkeypatch.setattr(search, "BLOCK", 16)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcé ") for _ in range(rng.randint(0, 90))) for _ in range(40)]
+    for shape in search.SHAPES:
+        found = {}
+        for text, key, sides, _ in search._grams(pa.array([x.encode() for x in texts]), shape):
+            for t, *k in zip(text.tolist(), key.tolist(), sides.tolist()):
+                found.setdefault(t, set()).add(tuple(k))
+        whole = [x.encode() for x in texts]
+        for t, x in enumerate(whole):
+            for a in range(len(x) - shape + 1):
+                n = shape + (a % 9 if shape > 2 else 0)
+                if a + n <= len(x) and len(list(search._grams(pa.array([x[a : a + n]]), shape, True))):
+                    _, key, sides, mask = next(iter(search._grams(pa.array([x[a : a + n]]), shape, True)))
+                    assert any(k == key[0] and s & mask[0] == sides[0] for k, s in found[t])
+
+
 def test_phrase_hits_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, phrase string")
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
